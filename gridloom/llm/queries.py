@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import licenses, media, mixing
+from . import licenses, media, mixing, packing, substrings
 from .common import documents
 
 
@@ -13,6 +14,13 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.to_media(documents(spark, sf_dir))).drop("error")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 ids."""
+    import public_tokenizers
+
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
@@ -23,5 +31,11 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
-QUERIES = {"op5_media": op5_media, "op7_mixing": op7_mixing, "op9_licenses": op9_licenses}
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that windows of 35 words repeated anywhere cover, and a digest of what stays."""
+    out = substrings.dedup(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op5_media": op5_media, "op6_packing": op6_packing, "op7_mixing": op7_mixing, "op9_licenses": op9_licenses, "op10_substrings": op10_substrings}
 ORACLES: dict[str, str] = {}
