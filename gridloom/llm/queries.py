@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, media, mixing, packing, substrings
+from . import jaccard, licenses, media, mixing, packing, substrings, toxicity
 from .common import documents
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the Jaccard links between all documents."""
+    return jaccard.join(documents(spark, sf_dir)).drop("h")
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a stored PNG, read back: sizes, checksums and a cosine-transform hash."""
     return media.read_media(media.to_media(documents(spark, sf_dir))).drop("error")
@@ -26,6 +31,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, by trees fitted on the labelled rows that aren't held out."""
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License detections of every document."""
     return licenses.scan(documents(spark, sf_dir))
@@ -37,5 +48,5 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op5_media": op5_media, "op6_packing": op6_packing, "op7_mixing": op7_mixing, "op9_licenses": op9_licenses, "op10_substrings": op10_substrings}
+QUERIES = {"op2_jaccard": op2_jaccard, "op5_media": op5_media, "op6_packing": op6_packing, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_licenses": op9_licenses, "op10_substrings": op10_substrings}
 ORACLES: dict[str, str] = {}
