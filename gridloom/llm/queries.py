@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, licenses, media, mixing, packing, substrings, toxicity
+from . import caps, jaccard, licenses, media, mixing, packing, substrings, toxicity
 from .common import documents
 
 
@@ -14,6 +14,11 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir)).drop("h")
 
 
+def op4_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of near-duplicate vectors."""
+    return caps.near(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a stored PNG, read back: sizes, checksums and a cosine-transform hash."""
     return media.read_media(media.to_media(documents(spark, sf_dir))).drop("error")
@@ -48,5 +53,5 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op2_jaccard": op2_jaccard, "op5_media": op5_media, "op6_packing": op6_packing, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_licenses": op9_licenses, "op10_substrings": op10_substrings}
+QUERIES = {"op2_jaccard": op2_jaccard, "op4_caps": op4_caps, "op5_media": op5_media, "op6_packing": op6_packing, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_licenses": op9_licenses, "op10_substrings": op10_substrings}
 ORACLES: dict[str, str] = {}
