@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import BYTES, LOWER, SPACE, cut, mix, spans_hash, text_chunks, words
 from .trees import Boosted, calibrated, isotonic
@@ -236,3 +237,17 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
 
     rows = docs.select(docs[key].cast("long").alias("doc_id"), held_out(docs[key]).alias("held_out"), F.coalesce(docs[text], F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def flagged(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs with `predicted`, without moving them."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = pa.RecordBatch.from_arrays([b.column(at)], ["text"])
+            s = [shared.value.score(d, o) for _, _, d, o in text_chunks(data)]
+            yield b.append_column("predicted", pa.array((np.concatenate([np.zeros(0), *s]) >= 0.5).astype(np.int32)))
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("predicted", T.IntegerType())]))
