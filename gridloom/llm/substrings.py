@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTES, WORDS, blob, cut, mix, partitions, spans_hash, text_chunks, words
+from .common import BYTES, WORDS, blob, cut, mix, partitions, reps, spans_hash, text_chunks, words
 
 # Words of a window, naming rounds.
 WINDOW, ROUNDS = 35, 2
@@ -104,6 +104,7 @@ def probes(hashes: np.ndarray, owner: np.ndarray, place: np.ndarray, buckets: in
 
 
 PROBES = "bucket int, hashes binary, ids binary, keys binary, rows binary, places binary"
+BACK = "target int, found binary, ids binary, keys binary, counts binary"
 KEPT = "doc_id long, h long, places binary"
 
 
@@ -118,29 +119,66 @@ def _probe_batch(rows: list[tuple], ids: np.ndarray, hs: np.ndarray) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "hashes", "ids", "keys", "rows", "places"])
 
 
-def _settled_batch(owner: np.ndarray, place: np.ndarray, ids: np.ndarray, hs: np.ndarray) -> tuple[np.ndarray, pa.RecordBatch]:
-    """A row for each document with its places; owner is sorted."""
-    docs, first = np.unique(owner, return_index=True)
-    return docs, pa.RecordBatch.from_arrays([pa.array(ids[docs], pa.int64()), pa.array(hs[docs], pa.int64()), blob(place, first, np.append(first[1:], len(owner)))], ["doc_id", "h", "places"])
+def _back(owner: np.ndarray, value: np.ndarray, ids: np.ndarray, hs: np.ndarray, targets: int) -> list[tuple]:
+    """Rows (target, values, ids, keys, counts): what documents get back, bundled by where they are gathered, so that their
+    number follows tasks and not documents times buckets."""
+    docs, back, counts = np.unique(owner, return_inverse=True, return_counts=True)
+    target = (mix(ids[docs].astype(np.uint64) ^ mix(hs[docs].astype(np.uint64))) % np.uint64(targets)).astype(np.int64)
+    by, order = np.argsort(target, kind="stable"), np.lexsort((back, target[back]))
+    edges, value = np.searchsorted(target[by], np.arange(targets + 1)), value[order]
+    upto = np.concatenate([[0], np.cumsum(counts[by])])
+    return [(k, value[upto[s] : upto[e]].tobytes(), ids[docs[by[s:e]]].tobytes(), hs[docs[by[s:e]]].tobytes(), counts[by[s:e]].astype(np.uint32).tobytes()) for k, (s, e) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if e > s]
 
 
-def _meet(table: pa.Table, as_hash: bool) -> pa.Table:
-    """Entries of a bucket whose hash more than one chunk sent: what their documents get back (hashes or places)."""
-    got = {c: [np.frombuffer(x, t) for x in table.column(c).to_pylist()] for c, t in (("hashes", np.uint64), ("ids", np.int64), ("keys", np.int64), ("rows", np.uint32), ("places", np.int32))}
-    base = np.concatenate([[0], np.cumsum([len(x) for x in got["ids"]])])
-    hashes, ids, keys = np.concatenate(got["hashes"]), np.concatenate(got["ids"]), np.concatenate(got["keys"])
-    owner = np.concatenate([r.astype(np.int64) + b for r, b in zip(got["rows"], base[:-1], strict=True)])
-    place = np.concatenate(got["places"])
-    order = np.argsort(hashes, kind="stable")
-    h = hashes[order]
-    same = np.zeros(len(h) + 1, bool)
-    same[1:-1] = h[1:] == h[:-1]
-    shared = order[same[1:] | same[:-1]]
-    shared = np.sort(shared[place[shared] >= 0])
-    owner, value = owner[shared], hashes[shared] if as_hash else place[shared]
-    by = np.argsort(owner, kind="stable")
-    _, out = _settled_batch(owner[by], value[by], ids, keys)
-    return pa.Table.from_batches([out])
+def _back_table(rows: list[tuple]) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+    return pa.table([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["target", "found", "ids", "keys", "counts"])
+
+
+def _settled(rows: list[tuple]) -> pa.RecordBatch:
+    """Bundles that a chunk settles itself, among probes: bucket = -1 - target."""
+    cols = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array([-1 - t for t in cols[0]], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:]), pa.nulls(len(rows), pa.binary())], ["bucket", "hashes", "ids", "keys", "rows", "places"])
+
+
+def _meet(targets: int, as_hash: bool):
+    """Of a bucket: the entries whose hash more than one chunk sent, as bundles of hashes or places; settled bundles pass."""
+
+    def run(t: pa.Table) -> pa.Table:
+        bucket = t.column("bucket")[0].as_py()
+        if bucket < 0:
+            return pa.table([pa.array(np.full(len(t), -1 - bucket, np.int32)), *(t.column(c) for c in ("hashes", "ids", "keys", "rows"))], ["target", "found", "ids", "keys", "counts"])
+        got = {c: [np.frombuffer(x, k) for x in t.column(c).to_pylist()] for c, k in (("hashes", np.uint64), ("ids", np.int64), ("keys", np.int64), ("rows", np.uint32), ("places", np.int32))}
+        base = np.concatenate([[0], np.cumsum([len(x) for x in got["ids"]])])
+        hashes, ids, keys = np.concatenate(got["hashes"]), np.concatenate(got["ids"]), np.concatenate(got["keys"])
+        owner = np.concatenate([r.astype(np.int64) + b for r, b in zip(got["rows"], base[:-1], strict=True)])
+        place = np.concatenate(got["places"])
+        order = np.argsort(hashes, kind="stable")
+        h = hashes[order]
+        same = np.zeros(len(h) + 1, bool)
+        same[1:-1] = h[1:] == h[:-1]
+        shared = order[same[1:] | same[:-1]]
+        shared = np.sort(shared[place[shared] >= 0])
+        return _back_table(_back(owner[shared], hashes[shared] if as_hash else place[shared], ids, keys, targets))
+
+    return run
+
+
+def _gathered(back: DataFrame, kind: type) -> DataFrame:
+    """One row for each document that got something back."""
+
+    def run(t: pa.Table) -> pa.Table:
+        got = {c: np.concatenate([np.frombuffer(x, k) for x in t.column(c).to_pylist()]) for c, k in (("found", kind), ("ids", np.int64), ("keys", np.int64), ("counts", np.uint32))}
+        order = np.lexsort((got["keys"], got["ids"]))
+        ids, keys, counts = got["ids"][order], got["keys"][order], got["counts"].astype(np.int64)
+        begin = (np.cumsum(counts) - counts)[order]
+        value = got["found"][np.repeat(begin, counts[order]) + reps(counts[order])]
+        new = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])]))
+        upto = np.concatenate([[0], np.cumsum(counts[order])])
+        edges = np.append(upto[new], upto[-1])
+        return pa.table([pa.array(ids[new]), pa.array(keys[new]), blob(value, edges[:-1], edges[1:])], ["doc_id", "h", "places"])
+
+    return back.groupBy("target").applyInArrow(run, KEPT)
 
 
 def _keyed(batch: pa.RecordBatch, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,55 +189,34 @@ def _named(docs: DataFrame, text: str, key: str) -> DataFrame:
     return docs.select(docs[key].cast("long").alias("doc_id"), F.xxhash64(docs[text]).alias("h"), F.coalesce(docs[text], F.lit("")).alias("text")).where("doc_id is not null")
 
 
-def _shared_keys(docs: DataFrame, buckets: int, window: int, rounds: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(doc_id, h, places = blob of its anchors' keys that occur elsewhere), several rows a document."""
+def dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, h, n_words, n_removed and kept (the words that stay, one space between them) for every row with a doc_id."""
+    tasks = partitions(docs.sparkSession)
+    buckets = 2 * tasks
+    docs = _named(docs, text, key)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, offs in text_chunks(b):
                 names, counts, _, _ = word_names(data, offs)
-                _, anchor, key = anchors(names, counts, window, rounds)
+                _, anchor, found = anchors(names, counts, window, rounds)
                 if not len(anchor):
                     continue
                 anchor, at = np.unique(anchor, return_index=True)
-                key, ids, hs = key[at], *_keyed(b, i, j)
+                found, (ids, hs) = found[at], _keyed(b, i, j)
                 owner = np.searchsorted(counts, anchor, "right") - 1
-                repeated, rows = probes(key, owner, np.zeros(len(key), np.int64), buckets)
+                repeated, rows = probes(found, owner, np.zeros(len(found), np.int64), buckets)
                 yield _probe_batch(rows, ids, hs)
                 if repeated.any():
-                    _, local = _settled_batch(owner[repeated], key[repeated], ids, hs)
-                    none = pa.nulls(len(local), pa.binary())
-                    # bucket -1: settled keys, in the columns of probes
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(local), -1), pa.int32()), local.column(2), blob(ids[np.unique(owner[repeated])], np.arange(len(local)), np.arange(len(local)) + 1), blob(hs[np.unique(owner[repeated])], np.arange(len(local)), np.arange(len(local)) + 1), none, none], ["bucket", "hashes", "ids", "keys", "rows", "places"])
-
-    sent = cut(docs.mapInArrow(send, PROBES), "substring-keys")
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            one = lambda c: pa.array([int.from_bytes(x, "little", signed=True) for x in b.column(c).to_pylist()], pa.int64())  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([one("ids"), one("keys"), b.column("hashes")], ["doc_id", "h", "places"])
-
-    local = sent.where("bucket < 0").mapInArrow(unpack, KEPT)
-    met = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _meet(t, True), KEPT)
-    return local.unionByName(met), [sent]
+                    yield _settled(_back(owner[repeated], found[repeated], ids, hs, tasks))
 
-
-def dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, h, n_words, n_removed and kept (the words that stay, one space between them) for every row with a doc_id."""
-    spark, buckets = docs.sparkSession, 2 * partitions(docs.sparkSession)
-    docs = _named(docs, text, key)
-    keys, written = _shared_keys(docs, buckets, window, rounds)
-    grouped = keys.groupBy("doc_id", "h").agg(F.collect_list("places").alias("got"))
-    moved = docs.repartition(partitions(spark), "doc_id", "h")
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, offs in text_chunks(b):
-                got = b.column("got")[i:j].flatten()
-                shared = np.unique(np.frombuffer(b"".join(got.to_pylist()), np.uint64))
+                shared = np.unique(np.frombuffer(b"".join(b.column("places")[i:j].to_pylist()), np.uint64))
                 names, counts, _, _ = word_names(data, offs)
-                starts, _, key = anchors(names, counts, window, rounds)
-                starts = starts[np.isin(key, shared)] if len(starts) else starts
+                starts, _, found = anchors(names, counts, window, rounds)
+                starts = starts[np.isin(found, shared)] if len(starts) else starts
                 if not len(starts):
                     continue
                 ids, hs = _keyed(b, i, j)
@@ -208,21 +225,12 @@ def dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, text: str
                 repeated, rows = probes(spans_hash(names, starts, starts + window, WORDS), owner, place, buckets)
                 yield _probe_batch(rows, ids, hs)
                 if repeated.any():
-                    _, local = _settled_batch(owner[repeated], place[repeated].astype(np.int32), ids, hs)
-                    none = pa.nulls(len(local), pa.binary())
-                    own = np.unique(owner[repeated])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(local), -1), pa.int32()), none, blob(ids[own], np.arange(len(local)), np.arange(len(local)) + 1), blob(hs[own], np.arange(len(local)), np.arange(len(local)) + 1), none, local.column(2)], ["bucket", "hashes", "ids", "keys", "rows", "places"])
-
-    def meet(t: pa.Table) -> pa.Table:
-        if t.column("bucket")[0].as_py() >= 0:
-            return _meet(t, False)
-        one = lambda c: pa.array([int.from_bytes(x, "little", signed=True) for x in t.column(c).to_pylist()], pa.int64())
-        return pa.table([one("ids"), one("keys"), t.column("places")], ["doc_id", "h", "places"])
-
-    # settled rows are spread over negative buckets, so that no task gets them all
-    sent = moved.join(grouped, ["doc_id", "h"]).mapInArrow(send, PROBES)
-    sent = sent.withColumn("bucket", F.when(F.col("bucket") < 0, -1 - F.pmod(F.hash("ids"), F.lit(buckets))).otherwise(F.col("bucket")))
-    covered = sent.groupBy("bucket").applyInArrow(meet, KEPT).groupBy("doc_id", "h").agg(F.collect_list("places").alias("got"))
+                    yield _settled(_back(owner[repeated], place[repeated].astype(np.int32), ids, hs, tasks))
+
+    keys = cut(docs.mapInArrow(send_keys, PROBES), "substring-keys").groupBy("bucket").applyInArrow(_meet(tasks, True), BACK)
+    moved = docs.repartition(tasks, "doc_id", "h")
+    windows = moved.join(_gathered(keys, np.uint64), ["doc_id", "h"]).mapInArrow(send_windows, PROBES)
+    covered = _gathered(windows.groupBy("bucket").applyInArrow(_meet(tasks, False), BACK), np.int32)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -233,9 +241,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, text: str
                 offs = offs + np.arange(len(offs))
                 starts, ends, counts = words(spaced, offs)
                 cover = np.zeros(len(starts) + 1, np.int32)
-                for k, got in enumerate(b.column("got")[i:j].to_pylist()):
+                for k, got in enumerate(b.column("places")[i:j].to_pylist()):
                     if got:
-                        s = np.unique(np.frombuffer(b"".join(got), np.int32)) + counts[k]
+                        s = np.unique(np.frombuffer(got, np.int32)) + counts[k]
                         np.add.at(cover, s, 1)
                         np.add.at(cover, s + window, -1)
                 gone = np.cumsum(cover[:-1]) > 0
@@ -250,5 +258,4 @@ def dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, text: str
                 kept = [out[s : max(s, e - 1)].tobytes() for s, e in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], b.column("h")[i:j], pa.array(np.diff(counts), pa.int64()), pa.array(np.diff(removed), pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "h", "n_words", "n_removed", "kept"])
 
-    out = moved.join(covered, ["doc_id", "h"], "left").mapInArrow(keep, "doc_id long, h long, n_words long, n_removed long, kept string")
-    return out
+    return moved.join(covered, ["doc_id", "h"], "left").mapInArrow(keep, "doc_id long, h long, n_words long, n_removed long, kept string")
