@@ -5,15 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import caps, jaccard, licenses, media, mixing, packing, substrings, toxicity
+from . import caps, cotraining, html_pages, jaccard, licenses, media, mixing, packing, substrings, toxicity
 from .common import documents
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_pages.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of the Jaccard links between all documents."""
     return jaccard.join(documents(spark, sf_dir)).drop("h")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by two co-trained views."""
+    docs = documents(spark, sf_dir)
+    return cotraining.score(docs, cotraining.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op4_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of near-duplicate vectors."""
     return caps.near(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
@@ -53,5 +64,5 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op2_jaccard": op2_jaccard, "op4_caps": op4_caps, "op5_media": op5_media, "op6_packing": op6_packing, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_licenses": op9_licenses, "op10_substrings": op10_substrings}
+QUERIES = {"op1_html": op1_html, "op2_jaccard": op2_jaccard, "op3_quality": op3_quality, "op4_caps": op4_caps, "op5_media": op5_media, "op6_packing": op6_packing, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_licenses": op9_licenses, "op10_substrings": op10_substrings}
 ORACLES: dict[str, str] = {}
