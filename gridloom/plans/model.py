@@ -128,7 +128,10 @@ class Model:
         p = next(p for p in d.props.values() if p.name == prop)
         t = self.dims[p.target]
         mine = self.spark.createDataFrame([(d.key(a), None if b is None else t.key(b)) for a, b in values.items()], f"src {d.key_type}, dst {t.key_type}")
+        done = len(self.log)
         self.add_property(dim, prop, t.name, p.table.join(mine, "src", "left_anti").union(mine.where("dst is not null")))
+        del self.log[done:]
+        self.log.append({"op": "set_property_values", "dim": dim, "prop": prop, "values": dict(values)})
 
     def _kind(self, kind: str) -> str:
         return f"member:{self.dim_named(kind[7:]).uid}" if kind.startswith("member:") else kind
@@ -237,8 +240,10 @@ class Model:
             raise ValueError(f"{dim} is ordered: a member is added at its end")
         d.members.insert(len(d.members) if at is None else at, (max((k for k, _ in d.members), default=-1) + 1, member))
         d.changed()
+        done = len(self.log)
         for p, v in (properties or {}).items():
             self.set_property_values(dim, p, {member: v})
+        del self.log[done:]
         self._changed({d.uid})
         self.log.append({"op": "add_member", "dim": dim, "member": member, "at": at, "properties": dict(properties or {})})
 
@@ -333,7 +338,10 @@ class Model:
         """Writes cells by member names, the last write of a key wins; or a DataFrame of keys and `v` (null: blank) with unique keys."""
         m = self._target(name)
         if isinstance(cells, DataFrame):
-            edits = cells.select(*(F.col(f"`{self.dims[u].name}`").cast(self.dims[u].key_type).alias(u) for u in m.dims), F.col("v").cast(self.v_type(m.kind)).alias("v"))
+            # large changes are a table of their own, which the record names
+            table = self.cut(cells.select(*(f"`{self.dims[u].name}`" for u in m.dims), "v"))
+            self.log.append({"op": "write_table", "name": name, "files": table.inputFiles()})
+            edits = table.select(*(F.col(f"`{self.dims[u].name}`").cast(self.dims[u].key_type).alias(u) for u in m.dims), F.col("v").cast(self.v_type(m.kind)).alias("v"))
             now = self.input(m.uid)
             m.base, m.edits = self.cut(now.join(edits.select(*m.dims), list(m.dims), "left_anti").unionByName(edits.where("v is not null"))), {}
         else:
@@ -613,6 +621,8 @@ class Model:
             match a.pop("op"):
                 case "set_cell":
                     self.write_many(a["name"], [(tuple(a["key"]), a["value"])])
+                case "write_table":
+                    self.write_many(a["name"], self.spark.read.parquet(*a["files"]))
                 case "add_input":
                     kind = a["kind"] if not a["kind"].startswith("member:") else f"member:{self.dims[a['kind'][7:]].name}"
                     self.add_input(a["name"], a["dims"], {tuple(k): v for k, v in a["cells"] or []}, kind)

@@ -124,7 +124,7 @@ SPECS = {
     "if_no_else": Spec("Part Month", "IF(QtyA > 30, QtyA * 2)", "SELECT part, month, v * 2 AS v FROM qa WHERE v > 30"),
     "if_branch_dims": Spec("Brand Flag Month", "IF(BTotal > 0, SalesFlag[FILTER: SalesFlag > 0], 0)", "SELECT brand, flag, month, round(sf.v, 4) AS v FROM bt CROSS JOIN sf WHERE bt.v > 0 AND sf.v > 0 UNION ALL SELECT brand, flag, month, 0.0 FROM (SELECT brand FROM bt WHERE NOT v > 0) CROSS JOIN (SELECT unnest([0, 1, 2]) AS flag) CROSS JOIN months"),
     "filter_cond": Spec("Part Month", "QtyA[FILTER: QtyN > 30]", "SELECT part, month, qa.v AS v FROM qa JOIN qn USING (part, month) WHERE qn.v > 30"),
-    "filter_lower_grain": Spec("Part Month", "QtyA[FILTER: RetailPrice > 1000]", "SELECT part, month, v FROM qa JOIN part ON p_partkey = part WHERE p_retailprice > 1000"),
+    "filter_lower_grain": Spec("Part Month", "QtyA[FILTER: RetailPrice > 950]", "SELECT part, month, v FROM qa JOIN part ON p_partkey = part WHERE p_retailprice > 950"),
     "on_support": Spec("Part Month", "RetailPrice[ON: QtyA]", "SELECT part, month, round(p_retailprice, 4) AS v FROM qa JOIN part ON p_partkey = part"),
     "expand_dim": Spec("Brand Flag", "BTotal[EXPAND: Flag]", "SELECT brand, flag, round(v, 4) AS v FROM bt CROSS JOIN (SELECT unnest([0, 1, 2]) AS flag)"),
     "ifblank_dense": Spec("Brand Month", "IFBLANK(BA, 0)", "SELECT brand, month, round(coalesce(v, 0.0), 4) AS v FROM brands CROSS JOIN months LEFT JOIN ba USING (brand, month)"),
