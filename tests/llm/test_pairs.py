@@ -41,8 +41,9 @@ def test_jaccard(spark, monkeypatch, short, rounds):
     monkeypatch.setattr(jaccard, "SHORT", short)
     monkeypatch.setattr(jaccard, "STAR_ROUNDS", rounds)
     monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(jaccard, "HELD", 2000)
     rows = corpus(1)
-    got = jaccard.join(spark.createDataFrame(rows, SCHEMA).repartition(5), sample=20).collect()
+    got = jaccard.join(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
     sets = []
     for i, t, *_ in rows:
         w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
