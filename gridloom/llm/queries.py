@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import caps, cotraining, html_pages, jaccard, licenses, media, mixing, packing, substrings, toxicity
 from .common import documents
+from .oracles import ORACLES
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +66,5 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_html": op1_html, "op2_jaccard": op2_jaccard, "op3_quality": op3_quality, "op4_caps": op4_caps, "op5_media": op5_media, "op6_packing": op6_packing, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_licenses": op9_licenses, "op10_substrings": op10_substrings}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
