@@ -25,8 +25,19 @@ def tables(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
     return lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_models: dict[tuple, Model] = {}
+
+
 def base(spark: SparkSession, sf_dir: str, exact: bool = False) -> Model:
-    """The model of the given tables; nothing is read until a metric is."""
+    """A fork of the model of the given tables, which a Spark application builds once for a folder.  It holds plans, no data:
+    nothing is read until a metric is, and then from the files."""
+    key = (spark.sparkContext.applicationId, sf_dir, exact)
+    if key not in _models:
+        _models[key] = _base(spark, sf_dir, exact)
+    return _models[key].fork()
+
+
+def _base(spark: SparkSession, sf_dir: str, exact: bool) -> Model:
     t, m = tables(spark, sf_dir), Model(spark, exact=exact)
     part, supplier, nation = t("part"), t("supplier"), t("nation")
     m.add_dimension("Part", part.select("p_partkey"))
