@@ -1,6 +1,6 @@
 """License scan: ordered signature rules over normalised words, in DataFrame functions only.
 
-A text is lower-cased (A-Z) and reduced to its words, one space between them.  A few keywords decide first whether a
+A text is lower-cased (A-Z) and reduced to its words, one space between them.  All keywords decide first whether a
 text can match at all, then each family's keyword decides which rules are tried.  A rule is a regular expression with
 a priority; its matches are intervals of the normalised text.  Intervals are sorted by start, then longest, then
 priority; one that lies inside an earlier one is suppressed, so "gnu lesser general public license version 3" doesn't also
@@ -53,12 +53,12 @@ FAMILIES = (
     ("cpl-1", "common public", r"common public"),
     ("ipl-1", "ibm public", r"ibm public"),
     ("cc0", "cc0|cc zero|creative commons", r"(?:cc0|cc zero|creative commons zero)"),
-    ("cc-by-nc-nd", "cc by|creative commons", r"(?:cc|creative commons) (?:by nc nd|attribution noncommercial noderiv\w*|attribution non commercial no deriv\w*)"),
-    ("cc-by-nc-sa", "cc by|creative commons", r"(?:cc|creative commons) (?:by nc sa|attribution noncommercial sharealike|attribution non commercial share alike)"),
-    ("cc-by-nc", "cc by|creative commons", r"(?:cc|creative commons) (?:by nc|attribution non ?commercial)"),
-    ("cc-by-nd", "cc by|creative commons", r"(?:cc|creative commons) (?:by nd|attribution no ?deriv\w*)"),
-    ("cc-by-sa", "cc by|creative commons", r"(?:cc|creative commons) (?:by sa|attribution share ?alike)"),
-    ("cc-by", "cc by|creative commons", r"(?:cc|creative commons) (?:by|attribution)"),
+    ("cc-by-nc-nd", "cc by|cc attribution|creative commons", r"(?:cc|creative commons) (?:by nc nd|attribution noncommercial noderiv\w*|attribution non commercial no deriv\w*)"),
+    ("cc-by-nc-sa", "cc by|cc attribution|creative commons", r"(?:cc|creative commons) (?:by nc sa|attribution noncommercial sharealike|attribution non commercial share alike)"),
+    ("cc-by-nc", "cc by|cc attribution|creative commons", r"(?:cc|creative commons) (?:by nc|attribution non ?commercial)"),
+    ("cc-by-nd", "cc by|cc attribution|creative commons", r"(?:cc|creative commons) (?:by nd|attribution no ?deriv\w*)"),
+    ("cc-by-sa", "cc by|cc attribution|creative commons", r"(?:cc|creative commons) (?:by sa|attribution share ?alike)"),
+    ("cc-by", "cc by|cc attribution|creative commons", r"(?:cc|creative commons) (?:by|attribution)"),
     ("isc", "isc", r"isc"),
     ("zlib", "zlib", r"zlib(?: libpng)?"),
     ("bsl-1", "boost", r"boost(?: software)?"),
@@ -99,8 +99,8 @@ FORMS = (
 )
 #: Families whose bare name is a detection (lowest priority); names with a version are too.
 BARE = ("cc0", "cc-by", "cc-by-nc", "cc-by-sa", "cc-by-nd", "cc-by-nc-sa", "cc-by-nc-nd", "unlicense", "wtfpl")
-#: One of these stands in every lower-cased text that any rule or base phrase matches.
-GATE = ("licen", "spdx", "cc", "creative", "wtfpl", "released", "distributed", "published", "available", "provided")
+#: One of these, at a word's start, stands in every normalised text that any rule or base phrase matches.
+GATE = tuple(dict.fromkeys(k for kws in (*(kw for _, kw, _ in FAMILIES), *BASE) for k in kws.split("|")))
 
 OTHER = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"  # before lower-casing; a negated class is many times slower
 A_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -178,7 +178,7 @@ def surviving(found: Column) -> Column:
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row."""
     df = docs.select(docs[key].alias("doc_id"), normal(F.coalesce(docs[text], F.lit(""))).alias("norm")).withColumn("low", F.lower("norm"))
-    gate = reduce(lambda a, b: a | b, (F.contains("low", F.lit(g)) for g in GATE))
+    gate = reduce(lambda a, b: a | b, (F.contains("low", F.lit(f" {g}")) for g in GATE))
     n_words = F.greatest(_spaces(F.col("norm")) - 1, F.lit(0)) - (F.col("norm") == "  ").cast("int")
     df = df.select("doc_id", n_words.cast("long").alias("n_words"), F.when(gate, F.translate("norm", A_Z, A_Z.lower())).alias("norm"))
     norm, none, n_words = F.col("norm"), F.lit(None).cast("long"), F.col("n_words")

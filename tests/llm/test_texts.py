@@ -201,6 +201,50 @@ def test_licenses(spark):
     assert [got[n + k].labels for k in (0, 2, 3, 4, 5, 7, 8)] == ["mit", "gpl-3", "lgpl-3", "bsd-3-clause", "", "cc-by-sa", "isc"]
 
 
+def shortest(pattern):
+    """The shortest matches of a pattern, one for each alternative."""
+
+    def of(items):
+        out = [""]
+        for op, arg in items:
+            if op is parser.LITERAL:
+                found = [chr(arg)]
+            elif op is parser.IN:
+                found = [chr(arg[0][1])] if arg[0][0] is parser.LITERAL else ["7"]
+            elif op is parser.SUBPATTERN:
+                found = of(arg[3])
+            elif op is parser.BRANCH:
+                found = [x for b in arg[1] for x in of(b)]
+            elif op is parser.MAX_REPEAT:
+                found = [x * arg[0] for x in of(arg[2])] if arg[0] else [""]
+            else:
+                assert op in (parser.ASSERT, parser.ASSERT_NOT)
+                found = [""]
+            out = list(dict.fromkeys(a + b for a in out for b in found))
+        return out
+
+    parser = re._parser
+    return of(parser.parse(pattern))
+
+
+def test_each_rule_alone(spark):
+    rules = [(r["prio"], f["label"], re.compile(r["re"], re.A)) for f in licenses.rules() for r in f["rules"]]
+    texts = list(dict.fromkeys(t for _, _, e in rules for t in shortest(e.pattern)))
+    texts += ["this module is GPL v2 or later", "dual MPL 2.0 and GPL 3", "apache 2 0 applies", "nothing of that sort"]
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        norm = f" {re.sub('[^a-z0-9]+', ' ', t.lower())} "
+        end, labels, prio = -1, set(), 0
+        for _, last, p, label in sorted((m.start(), -m.end(), -p, label) for p, label, e in rules for m in e.finditer(norm)):
+            if -last > end:
+                end, prio = -last, max(prio, -p)
+                labels.add(label)
+        base = {x for b, x in licenses.BASE.items() if f" {b} " in norm}
+        assert got[i].labels == ",".join(sorted(labels | base)) and got[i].score == max(prio / 100, 0.8 if base else 0), t
+        assert labels or i == len(texts) - 1, t
+    assert [got[len(texts) - k].labels for k in (4, 3, 2)] == ["gpl-2", "gpl-3,mpl-2", "apache-2"]
+
+
 # ---- pages
 
 
