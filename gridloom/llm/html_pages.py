@@ -13,7 +13,8 @@ deterministic.
 
 Defined results: null and empty pages give ''; markup that never closes ends at the page's end; character references are
 decoded; white space inside a block becomes one space; a page without content gives ''.  Repeated rows get equal
-results.  Pages are cut into sequences of at most MOST blocks for the network (text is never cut).
+results.  A page of any length is one sequence: the network reads it in slices of MOST blocks, and the state of each
+direction goes on from slice to slice.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-# Parameters: rows of the embedding, its width, hidden units, words of a block that are read, blocks of a sequence, training pages, passes, seed.
+# Parameters: rows of the embedding, its width, hidden units, words of a block that are read, blocks of a slice, training pages, passes, seed.
 ROWS, WIDE, HIDDEN, HEAD_WORDS, MOST, PAGES, PASSES, SEED = 4096, 24, 20, 6, 512, 900, 4, 3
 #: Share of the rows that are for words, and the weight of the mean of a block's words beside the sum of its path.
 WORD_ROWS, WORD_WEIGHT = 1024, 0.15
@@ -187,8 +188,8 @@ def _word_row(word: str) -> int:
 DENSE = 8
 
 
-def vectors(bs: list[Block]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Embedding rows of all blocks one after another, their weights, where each block's begin, and dense features."""
+def vectors(bs: list[Block], first: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Embedding rows of all blocks one after another, their weights, where each block's begin, and dense features; first: blocks of the page before these."""
     ids: list[int] = []
     weights: list[float] = []
     begin, dense = [], np.zeros((len(bs), DENSE), np.float32)
@@ -200,7 +201,7 @@ def vectors(bs: list[Block]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         ids += [_word_row(w.lower().strip(".,:;!?()\"'")) for w in words]
         weights += [1.0] * len(steps) + [WORD_WEIGHT / max(1, len(words))] * len(words)
         n = len(b.text)
-        dense[k] = (np.log1p(n) / 8, b.link / n, b.text.count(" ") / n * 5, b.text[-1] in ".!?\"'", n < 30, n > 200, k == 0, min(k, 50) / 50)
+        dense[k] = (np.log1p(n) / 8, b.link / n, b.text.count(" ") / n * 5, b.text[-1] in ".!?\"'", n < 30, n > 200, first + k == 0, min(first + k, 50) / 50)
     return np.array(ids, np.int64), np.array(weights, np.float32), np.array(begin, np.int64), dense
 
 
@@ -220,9 +221,10 @@ class Lstm:
         self.b[h : 2 * h] = 1
         self.h = h
 
-    def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
+    def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False, state: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, list, tuple[np.ndarray, np.ndarray]]:
+        """Outputs, what backward needs, and the state (h, c) after the last step; `state`: the one to begin with."""
         t, b, d = x.shape
-        h, c = np.zeros((b, self.h), np.float32), np.zeros((b, self.h), np.float32)
+        h, c = state or (np.zeros((b, self.h), np.float32), np.zeros((b, self.h), np.float32))
         out, kept = np.zeros((t, b, self.h), np.float32), []
         pre = x.reshape(t * b, d) @ self.w[:d] + self.b
         pre = pre.reshape(t, b, -1)
@@ -238,7 +240,7 @@ class Lstm:
                 kept.append((h, c, i, f, o, g, tc, m))
             c, h = np.where(m, c2, c), np.where(m, h2, h)
             out[k] = h
-        return out, kept
+        return out, kept, (h, c)
 
     def backward(self, x: np.ndarray, kept: list, dout: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         t, b, d = x.shape
@@ -267,8 +269,8 @@ class Labeller:
         self.out = (rng.standard_normal(2 * HIDDEN + d) * 0.1).astype(np.float32)
         self.bias = np.zeros(1, np.float32)
 
-    def inputs(self, bs: list[Block]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        ids, weights, begin, dense = vectors(bs)
+    def inputs(self, bs: list[Block], first: int = 0) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        ids, weights, begin, dense = vectors(bs, first)
         summed = np.add.reduceat(self.emb[ids] * weights[:, None], begin) if len(bs) else np.zeros((0, WIDE), np.float32)
         return np.concatenate([summed, dense], 1), (ids, weights, begin)
 
@@ -281,32 +283,50 @@ class Labeller:
         return out, mask
 
     def logits(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
-        a, ka = self.ahead.forward(x, mask, keep)
-        b, kb = self.back.forward(x[::-1], mask[::-1], keep)
+        a, ka, _ = self.ahead.forward(x, mask, keep)
+        b, kb, _ = self.back.forward(x[::-1], mask[::-1], keep)
         full = np.concatenate([a, b[::-1], x], 2)
         return full @ self.out + self.bias, full, ka, kb
 
     def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """Content or not, for each block of each page."""
-        pieces = [(k, s) for k, p in enumerate(pages) for s in range(0, len(p), MOST)]
         out = [np.zeros(len(p), bool) for p in pages]
-        pieces.sort(key=lambda q: min(MOST, len(pages[q[0]]) - q[1]))
+        order = sorted((k for k, p in enumerate(pages) if p), key=lambda k: len(pages[k]))
         at = 0
-        while at < len(pieces):
-            stop = at
-            longest = 0
-            while stop < len(pieces) and (stop == at or (stop - at + 1) * min(MOST, len(pages[pieces[stop][0]]) - pieces[stop][1]) <= 16_384):
+        while at < len(order):
+            stop = at + 1
+            while stop < len(order) and (stop - at + 1) * len(pages[order[stop]]) <= 16_384:
                 stop += 1
-            group = pieces[at:stop]
-            xs = [self.inputs(pages[k][s : s + MOST])[0] for k, s in group]
-            x, mask = self.padded(xs)
-            z, *_ = self.logits(x, mask)
-            for j, (k, s) in enumerate(group):
-                longest = len(xs[j])
-                out[k][s : s + longest] = z[:longest, j] > 0
+            group = order[at:stop]
+            for k, z in zip(group, self.sliced([pages[k] for k in group]), strict=True):
+                out[k] = z > 0
             at = stop
         return out
 
+    def sliced(self, pages: list[list[Block]], most: int = MOST) -> list[np.ndarray]:
+        """Logits of whole pages: slices of at most `most` blocks bound the memory, and each direction carries its state across them."""
+        longest = max(map(len, pages))
+        cuts = range(0, longest, most)
+
+        def piece(s: int) -> tuple[np.ndarray, np.ndarray]:
+            xs = [self.inputs(p[s : s + most], s)[0] for p in pages]
+            return self.padded(xs)
+
+        if len(cuts) == 1:
+            z = self.logits(*piece(0))[0]
+        else:
+            z, state, h = np.zeros((longest, len(pages)), np.float32), None, HIDDEN
+            for s in cuts:
+                x, mask = piece(s)
+                a, _, state = self.ahead.forward(x, mask, state=state)
+                z[s : s + most] = a @ self.out[:h] + x @ self.out[2 * h :] + self.bias
+            state = None
+            for s in reversed(cuts):
+                x, mask = piece(s)
+                b, _, state = self.back.forward(x[::-1], mask[::-1], state=state)
+                z[s : s + most] += b[::-1] @ self.out[h : 2 * h]
+        return [z[: len(p), k] for k, p in enumerate(pages)]
+
     def train(self, pages: list[tuple[list[Block], list[bool]]], passes: int = PASSES, rate: float = 0.01, batch: int = 16) -> Labeller:
         rng = np.random.default_rng(SEED + 1)
         params = {"emb": self.emb, "aw": self.ahead.w, "ab": self.ahead.b, "bw": self.back.w, "bb": self.back.b, "out": self.out, "bias": self.bias}

@@ -274,6 +274,20 @@ def test_extract(spark, labeller):
     assert got[1] == (want, len(want)) and got[2] == got[3] == ("", 0) and got[4] == ("Open", 4)
 
 
+def test_long_pages_are_one_sequence(labeller):
+    pages = [p for p, _ in html_pages.training(120, 5)]
+    long = [b for p in pages for b in p]
+    pages = [long, long[300:900], pages[0]]
+    assert len(long) > 3 * html_pages.MOST
+    found = labeller.label(pages)
+    for p, own in zip(pages, found, strict=True):
+        x, mask = labeller.padded([labeller.inputs(p)[0]])
+        z = labeller.logits(x, mask)[0][:, 0]
+        assert (own == (z > 0))[abs(z) > 1e-3].all()
+    for own, z in zip(labeller.sliced(pages, 7), labeller.sliced(pages, 10**6), strict=True):
+        assert np.allclose(own, z, atol=1e-3)
+
+
 # ---- classifiers
 
 
