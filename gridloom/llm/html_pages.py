@@ -3,7 +3,7 @@
 A page is read once by a tag scanner into blocks: maximal stretches of text between block-level tags, each with the path
 of open elements and what their class, id and role say.  Elements that hold no prose by definition (scripts, styles, head,
 forms and their controls, ...) give no blocks.  Each block's vector is the sum of hashed embeddings: path steps (tag, and words of
-class, id and role), hashed words of its start, and dense features (length, link share, punctuation).  The LSTM reads the
+class, id and role), all its words hashed, and dense features (length, link share, punctuation).  The LSTM reads the
 sequence of blocks of the whole page in both directions, so a block is judged in the document's context; blocks
 labelled as content are joined in page order by two line feeds.
 
@@ -30,8 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-# Parameters: rows of the embedding, its width, hidden units, words of a block that are read, blocks of a slice, training pages, passes, seed.
-ROWS, WIDE, HIDDEN, HEAD_WORDS, MOST, PAGES, PASSES, SEED = 4096, 24, 20, 6, 512, 900, 4, 3
+# Parameters: rows of the embedding, its width, hidden units, blocks of a slice, training pages, passes, seed.
+ROWS, WIDE, HIDDEN, MOST, PAGES, PASSES, SEED = 4096, 24, 20, 512, 900, 4, 3
 #: Share of the rows that are for words, and the weight of the mean of a block's words beside the sum of its path.
 WORD_ROWS, WORD_WEIGHT = 1024, 0.15
 
@@ -182,7 +182,16 @@ def _path_rows(path: tuple[str, ...]) -> tuple[int, ...]:
 
 @lru_cache(200_000)
 def _word_row(word: str) -> int:
-    return zlib.crc32(word.encode()) % WORD_ROWS
+    return zlib.crc32(word.strip(".,:;!?()\"'").encode()) % WORD_ROWS
+
+
+def _words_of(text: str) -> tuple[list[int], list[float]]:
+    """Rows of all words of a text and their shares of it; a long text's rows are counted, so there are at most WORD_ROWS."""
+    rows = [_word_row(w) for w in text.lower().split()]
+    if len(rows) <= WORD_ROWS:
+        return rows, [1 / max(1, len(rows))] * len(rows)
+    own, count = np.unique(rows, return_counts=True)
+    return own.tolist(), (count / len(rows)).tolist()
 
 
 DENSE = 8
@@ -197,9 +206,10 @@ def vectors(bs: list[Block], first: int = 0) -> tuple[np.ndarray, np.ndarray, np
         begin.append(len(ids))
         steps = _path_rows(b.path)
         ids += steps
-        words = b.text.split(None, HEAD_WORDS)[:HEAD_WORDS]
-        ids += [_word_row(w.lower().strip(".,:;!?()\"'")) for w in words]
-        weights += [1.0] * len(steps) + [WORD_WEIGHT / max(1, len(words))] * len(words)
+        rows, count = _words_of(b.text)
+        ids += rows
+        weights += [1.0] * len(steps)
+        weights += [WORD_WEIGHT * c for c in count]
         n = len(b.text)
         dense[k] = (np.log1p(n) / 8, b.link / n, b.text.count(" ") / n * 5, b.text[-1] in ".!?\"'", n < 30, n > 200, first + k == 0, min(first + k, 50) / 50)
     return np.array(ids, np.int64), np.array(weights, np.float32), np.array(begin, np.int64), dense

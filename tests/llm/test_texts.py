@@ -274,6 +274,17 @@ def test_extract(spark, labeller):
     assert got[1] == (want, len(want)) and got[2] == got[3] == ("", 0) and got[4] == ("Open", 4)
 
 
+def test_all_words_of_a_block_are_read(labeller):
+    start = "one two three four five six seven eight"
+    block = lambda t: html_pages.Block(("<body", "<div"), t, 0)
+    # texts of equal length and punctuation, so that only words tell them apart
+    for a, b in ((f"{start} sponsored", f"{start} something"), (f"{start} " * 400 + "sponsored", f"{start} " * 400 + "something")):
+        x, y = (labeller.inputs([block(t)])[0] for t in (a, b))
+        assert (x[:, -html_pages.DENSE :] == y[:, -html_pages.DENSE :]).all() and (x != y).any()
+    ids, weights, _, _ = html_pages.vectors([block(f"{start} " * 5000)])
+    assert len(ids) < 2 * html_pages.WORD_ROWS and abs(weights[-8:].sum() - html_pages.WORD_WEIGHT) < 1e-3
+
+
 def test_long_pages_are_one_sequence(labeller):
     pages = [p for p, _ in html_pages.training(120, 5)]
     long = [b for p in pages for b in p]
