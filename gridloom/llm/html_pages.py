@@ -14,7 +14,8 @@ deterministic.
 Defined results: null and empty pages give ''; markup that never closes ends at the page's end; character references are
 decoded; white space inside a block becomes one space; a page without content gives ''.  Repeated rows get equal
 results.  A page of any length is one sequence: the network reads it in slices of MOST blocks, and the state of each
-direction goes on from slice to slice.
+direction goes on from slice to slice.  All attributes and all open elements are tracked; only of a path with more than
+STEPS different steps the middle ones are no features.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,6 +36,8 @@ from pyspark.sql import DataFrame
 ROWS, WIDE, HIDDEN, MOST, PAGES, PASSES, SEED = 4096, 24, 20, 512, 900, 4, 3
 #: Share of the rows that are for words, and the weight of the mean of a block's words beside the sum of its path.
 WORD_ROWS, WORD_WEIGHT = 1024, 0.15
+#: Steps of a path that count once more for being near, and different steps of a path that are features (open elements aren't bounded).
+NEAR, STEPS = 6, 2000
 
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -72,10 +76,21 @@ def step(tag: str, attributes: str) -> tuple[str, tuple[str, ...], bool]:
     return f"<{tag}", tuple(words), hidden
 
 
+def extended(path: tuple[str, ...], steps: tuple[str, ...]) -> tuple[str, ...]:
+    """A path and what follows.  Of a long one repeats go, which features don't count, and then, beyond STEPS different steps, those in the middle."""
+    path += steps
+    if len(path) > STEPS:
+        path = (*dict.fromkeys(path[:-NEAR]), *path[-NEAR:])
+        if len(path) > STEPS:
+            path = path[: STEPS // 2] + path[-STEPS // 2 :]
+    return path
+
+
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
-    stack: list[tuple[str, tuple[str, ...], bool]] = []  # element, path up to it, silent
+    stack: list[tuple[str, tuple[str, ...], bool, int]] = []  # element, path up to it, silent, place of the last element that isn't inline
+    opened: Counter[str] = Counter()  # elements on the stack
     path: tuple[str, ...] = ()
     silent, link, linked, at = False, 0, 0, 0
 
@@ -97,9 +112,10 @@ def blocks(page: str) -> list[Block]:
 
     def pop_to(k: int) -> None:
         nonlocal path, silent, link
+        opened.subtract(s[0] for s in stack[k:])
         del stack[k:]
         path, silent = (stack[-1][1], stack[-1][2]) if stack else ((), False)
-        link = sum(s[0] == "a" for s in stack) if link else 0
+        link = opened["a"]
 
     n = len(page)
     while at < n:
@@ -125,6 +141,8 @@ def blocks(page: str) -> list[Block]:
         if not inline:
             flush()
         if m[1]:
+            if not opened[tag]:
+                continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     pop_to(k)
@@ -134,14 +152,12 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in ENDS_P:
             # an open paragraph ends, with the inline elements left open in it
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    pop_to(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
+            k = stack[-1][3] if stack else -1
+            if k >= 0 and stack[k][0] == "p":
+                pop_to(k)
         elif tag in ("li", "dt", "dd", "tr", "td", "th"):
-            for k in range(len(stack) - 1, -1, -1):
+            k = len(stack)
+            while k and (k := stack[k - 1][3]) >= 0:
                 if stack[k][0] == tag or (tag in ("dt", "dd") and stack[k][0] in ("dt", "dd")):
                     pop_to(k)
                     break
@@ -155,14 +171,13 @@ def blocks(page: str) -> list[Block]:
             continue
         if m[3].rstrip().endswith("/") and tag not in ENDS_P and tag not in INLINE:
             continue
-        name, words, hidden = step(tag, m[3][:2000])
-        if len(stack) < 200:
-            quiet = silent or hidden or tag in SILENT
-            if not inline or words:
-                path = (*path, name, *words)
-            silent = quiet
-            stack.append((tag, path, quiet))
-            link += tag == "a"
+        name, words, hidden = step(tag, m[3]) if len(m[3]) <= 2000 else step.__wrapped__(tag, m[3])
+        silent = silent or hidden or tag in SILENT
+        if not inline or words:
+            path = extended(path, (name, *words))
+        stack.append((tag, path, silent, len(stack) if not inline else stack[-1][3] if stack else -1))
+        opened[tag] += 1
+        link = opened["a"]
     flush()
     return out
 
@@ -176,7 +191,7 @@ def _row(kind: str, word: str) -> int:
 
 @lru_cache(200_000)
 def _path_rows(path: tuple[str, ...]) -> tuple[int, ...]:
-    near = path[-6:]
+    near = path[-NEAR:]
     return tuple(_row("p", w) for w in dict.fromkeys(path)) + tuple(_row("n", w) for w in dict.fromkeys(near))
 
 
@@ -204,7 +219,7 @@ def vectors(bs: list[Block], first: int = 0) -> tuple[np.ndarray, np.ndarray, np
     begin, dense = [], np.zeros((len(bs), DENSE), np.float32)
     for k, b in enumerate(bs):
         begin.append(len(ids))
-        steps = _path_rows(b.path)
+        steps = _path_rows(b.path) if len(b.path) <= 200 else _path_rows.__wrapped__(b.path)
         ids += steps
         rows, count = _words_of(b.text)
         ids += rows

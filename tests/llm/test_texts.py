@@ -259,6 +259,21 @@ def test_blocks():
     assert html_pages.blocks("") == [] and [b.text for b in html_pages.blocks("a < b <")] == ["a < b <"]
 
 
+def test_long_attributes_and_deep_pages():
+    data = f"data-state='{'x' * 5000}'"
+    got = html_pages.blocks(f'<div {data} style="display:none">no</div><div {data} class="advert">yes</div>')
+    assert [b.text for b in got] == ["yes"] and got[0].path == ("<div", ".advert")
+    for deep in (150, 199, 250, 5000):
+        page = "<div>" * deep + "<section class=comments>a<form>f</form><div hidden>no<div>no</div></div><p>b</p></section>c" + "</div>" * deep + "<p>d"
+        got = html_pages.blocks(page)
+        assert [b.text for b in got] == ["a", "b", "c", "d"]
+        assert [(".comments" in b.path, "<div" in b.path) for b in got] == [(True, True), (True, True), (False, True), (False, False)]
+    got = html_pages.blocks("<div><b>" * 20_000 + "x" + "</div></i>" * 20_000 + "<form>f</form>y")
+    assert [b.text for b in got] == ["x", "y"] and got[1].path == ()
+    many = html_pages.blocks("".join(f"<div class=k{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}>" for k in range(5000)) + "x")[0].path
+    assert len(many) == html_pages.STEPS and many[:2] == ("<div", ".kaaa") and many[-1] == f".k{chr(97 + 4999 % 26)}{chr(97 + 4999 // 26 % 26)}{chr(97 + 4999 // 676)}"
+
+
 def test_pages_of_unseen_layouts(labeller):
     pages = html_pages.training(150, 77)
     found = labeller.label([p for p, _ in pages])
