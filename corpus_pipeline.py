@@ -21,6 +21,12 @@ def _documents(df: DataFrame) -> DataFrame:
     return df.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(df.schema["n_chars"].dataType)).select(*COLUMNS)
 
 
+def _null_safe(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """A join by doc_id and h in which null ids are equal."""
+    right = right.withColumnsRenamed({"doc_id": "_id", "h": "_h"})
+    return left.join(right, left["doc_id"].eqNullSafe(right["_id"]) & (left["h"] == right["_h"]), how).drop("_id", "_h")
+
+
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text isn't predicted toxic; equal texts fare alike."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -28,21 +34,27 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of Jaccard links the document with the smallest id; of rows with that id the one whose text comes first."""
-    found = jaccard.join(docs)
+    """Of each component of Jaccard links the document with the smallest id; of rows with that id the one whose text comes first.
+
+    Of a component without any id one row stays; texts without shingles and id are documents of their own and all stay.
+    """
+    found = jaccard.linked(docs)
     first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("h").alias("h"))
     keyed = docs.withColumn("h", F.xxhash64("text"))
     kept = keyed.join(first, ["doc_id", "h"], "left_semi")
     again = found.where("doc_id = component_id").groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1")
     # rows that are equal in id and text are one document
     once = kept.join(again, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
-    return kept.join(again, ["doc_id", "h"], "left_anti").unionByName(once).select(*COLUMNS)
+    nameless, unnamed = keyed.where("doc_id is null"), found.where("doc_id is null and component_id is null")
+    one = nameless.join(unnamed.where("component is not null").groupBy("component").agg(F.min("h").alias("h")), "h", "left_semi").dropDuplicates(["h"])
+    blank = nameless.join(unnamed.where("component is null").select("h"), "h", "left_semi")
+    return kept.join(again, ["doc_id", "h"], "left_anti").unionByName(once).unionByName(one.select(*kept.columns)).unionByName(blank.select(*kept.columns)).select(*COLUMNS)
 
 
 def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words that repeated windows cover; texts that lose nothing stay as they are."""
     found = substrings.dedup(docs).where("n_removed > 0").select("doc_id", "h", "kept").dropDuplicates(["doc_id", "h"])
-    rows = docs.withColumn("h", F.xxhash64("text")).join(found, ["doc_id", "h"], "left")
+    rows = _null_safe(docs.withColumn("h", F.xxhash64("text")), found, "left")
     return _documents(rows.withColumn("text", F.coalesce("kept", "text")))
 
 
@@ -52,7 +64,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     sizes = cut(keyed.select("doc_id", "h", "source", mixing.size_of(F.col("text")).alias("size")), "pipeline-sizes")
     mix = mixing.mix_sizes(sizes).groupBy("doc_id", "h").agg(F.max("size").alias("size"), F.max("taken").alias("taken"), *(F.first(c).alias(c) for c in ("start", "run_from", "run_words", "shard_size")))
     mix = mix.where("taken > 0")
-    rows = keyed.join(mix, ["doc_id", "h"])
+    rows = _null_safe(keyed, mix, "inner")
     whole = F.floor(F.col("taken") / F.col("size")).cast("int")
     part = F.col("taken") % F.col("size")
     # the words of the document in the run, or in the run's second half that begins the shard again

@@ -19,7 +19,7 @@ Texts move once (by document, an exchange that both later steps share).
 
 Defined results: null and empty texts have no words; a text shorter than a window loses none; the same window twice in one
 text counts as a repeat; repeated rows repeat each other.  Rows with one doc_id and different texts are told apart by
-the text's hash.  Windows are judged on the input.
+the text's hash; rows with a null doc_id count and are returned like others.  Windows are judged on the input.
 """
 
 from __future__ import annotations
@@ -186,11 +186,13 @@ def _keyed(batch: pa.RecordBatch, i: int, j: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _named(docs: DataFrame, text: str, key: str) -> DataFrame:
-    return docs.select(docs[key].cast("long").alias("doc_id"), F.xxhash64(docs[text]).alias("h"), F.coalesce(docs[text], F.lit("")).alias("text")).where("doc_id is not null")
+    """doc_id and h that tell documents apart, never null (a row without id has 0 and the complement of its text's hash), the row's id, and its text."""
+    own, h = docs[key].cast("long"), F.xxhash64(docs[text])
+    return docs.select(F.coalesce(own, F.lit(0).cast("long")).alias("doc_id"), F.when(own.isNull(), F.bitwise_not(h)).otherwise(h).alias("h"), own.alias("id"), F.coalesce(docs[text], F.lit("")).alias("text"))
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, h, n_words, n_removed and kept (the words that stay, one space between them) for every row with a doc_id."""
+    """doc_id, h, n_words, n_removed and kept (the words that stay, one space between them) for every row."""
     tasks = partitions(docs.sparkSession)
     buckets = 2 * tasks
     docs = _named(docs, text, key)
@@ -256,6 +258,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, text: str
                 out, upto = spaced[sel], np.concatenate([[0], np.cumsum(sel)])[offs]
                 removed = np.concatenate([[0], np.cumsum(gone)])[counts]
                 kept = [out[s : max(s, e - 1)].tobytes() for s, e in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], b.column("h")[i:j], pa.array(np.diff(counts), pa.int64()), pa.array(np.diff(removed), pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "h", "n_words", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([b.column("id")[i:j], b.column("h")[i:j], pa.array(np.diff(counts), pa.int64()), pa.array(np.diff(removed), pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "h", "n_words", "n_removed", "kept"])
 
-    return moved.join(covered, ["doc_id", "h"], "left").mapInArrow(keep, "doc_id long, h long, n_words long, n_removed long, kept string")
+    out = moved.join(covered, ["doc_id", "h"], "left").mapInArrow(keep, "doc_id long, h long, n_words long, n_removed long, kept string")
+    return out.withColumn("h", F.when(F.col("doc_id").isNull(), F.bitwise_not("h")).otherwise(F.col("h")))

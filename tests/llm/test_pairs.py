@@ -102,6 +102,21 @@ def test_substrings(spark):
     assert substrings.dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_null_ids(spark):
+    """Rows without an id count as other places of a window and as links, and have results of their own."""
+    word = lambda k: "".join(chr(97 + int(c)) for c in str(k * 7919))
+    text = lambda a, n=60: " ".join(word(k) for k in range(a, a + n))
+    rows = [(5, text(1)), (None, text(1)), (None, text(1)), (None, text(30, 90)), (7, text(1000)), (None, text(2000)), (None, text(2000) + " more"), (None, None), (None, ""), (0, text(3000)), (None, text(4000))]
+    df = spark.createDataFrame([(i, t, None, None, None, "clash") for i, t in rows], SCHEMA).repartition(3)
+    got = substrings.dedup(df).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == brute_substrings(rows)
+    keyed = {(r.doc_id, r.h) for r in df.selectExpr("doc_id", "xxhash64(text) h").collect()}
+    assert {(r.doc_id, r.h) for r in got} == keyed
+    found = jaccard.linked(df).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == Counter([(5, 56, 5), (None, 56, 5), (None, 56, 5), (None, 86, None), (7, 56, 7), (None, 56, None), (None, 57, None), (None, 0, None), (None, 0, None), (0, 56, 0), (None, 56, None)])
+    assert len({r.component for r in found if r.component is not None}) == 6 and {(r.doc_id, r.h) for r in found} == keyed
+
+
 def test_symbols_agree():
     """Equal windows have equal anchors and keys, whatever stands round them."""
     r = np.random.default_rng(0)

@@ -393,3 +393,23 @@ def test_pipeline_stages(spark, tmp_path):
                 have[r.doc_id] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
             assert have == want
         docs = after
+
+
+def test_pipeline_keeps_rows_without_id(spark, tmp_path):
+    import corpus_pipeline as p
+
+    word = lambda k: "".join(chr(97 + int(c)) for c in str(k * 7919))
+    text = lambda a, n=60: " ".join(word(k) for k in range(a, a + n))
+    rows = [(5, text(1)), (None, text(1)), (None, text(1000, 100)), (None, text(2000)), (None, text(2000)), (7, text(1050, 100)), (None, None), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    spark.createDataFrame([(5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    texts = lambda df: sorted((r.doc_id or 0, r.text or "") for r in df.collect())
+    assert texts(p.toxic_out(spark, docs, str(tmp_path))) == sorted((i or 0, t or "") for i, t in rows)
+    one = p.cut(p.one_of_each(spark, docs, ""), "test-one")
+    assert texts(one) == sorted([(5, text(1)), (0, text(1000, 100)), (0, text(2000)), (7, text(1050, 100)), (0, ""), (0, ""), (0, "")])
+    out = p.cut(p.repeats_out(spark, one, ""), "test-out")
+    assert texts(out) == sorted([(5, text(1)), (0, text(1000, 50)), (0, text(2000)), (7, text(1100, 50)), (0, ""), (0, ""), (0, "")])
+    taken = p.mixed(spark, out, "").where("doc_id is null").collect()
+    want = sum(r.taken for r in mixing.mix(out).collect() if r.doc_id is None)
+    assert sum(len(r.text.split()) for r in taken) == want > 0
+    assert packing.pack(out, path()).where("doc_id is null").select("start").count() >= 5
