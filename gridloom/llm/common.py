@@ -14,12 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2_000_000
 U64 = np.uint64
-#: Odd multipliers of the two polynomial hashes (over bytes and over words).
+#: Odd multipliers of the hashes.
 BYTE_P, WORD_P = 0x9E3779B97F4A7C55, 0xD6E8FEB86659FD93
 
 #: ASCII white space of the word pattern [^\x20\x09-\x0D]+ .
@@ -79,30 +80,57 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Powers:
-    """P**i and P**-i modulo 2**64 for i < n, grown on demand."""
+#: Longest span in bytes that is hashed in passes over all spans; longer ones are hashed one by one.
+SHORT_SPAN = 64
 
-    def __init__(self, p: int):
-        self.p, self.inv = p, pow(p, -1, 1 << 64)
-        self.up, self.down = np.ones(1, U64), np.ones(1, U64)
 
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * U64(pow(self.p, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * U64(pow(self.inv, k, 1 << 64))])
-        return self.up[:n], self.down[:n]
+def bytes_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes data[s:e] of each span; equal contents have equal hashes wherever they stand.
 
-
-BYTES, WORDS = Powers(BYTE_P), Powers(WORD_P)
-
-
-def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:
-    """A 64-bit hash of values[s:e] for each span; equal contents have equal hashes wherever they stand."""
-    up, down = powers.get(len(values) + 1)
+    Eight bytes at a time go through a mixing step, so there are no texts that collide by their form.
+    """
+    size = (ends - starts).astype(np.int64)
+    out = size.astype(U64) * U64(0xA24BAED4963EE407)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    active = np.flatnonzero((size > 0) & (size <= SHORT_SPAN))
+    at = 0
+    while len(active):
+        left = size[active] - at
+        part = eight[starts[active] + at] & (U64(0xFFFFFFFFFFFFFFFF) >> (U64(8) * (U64(8) - np.minimum(left, 8).astype(U64))))
+        out[active] = mix(out[active] ^ (part * U64(BYTE_P) + U64(WORD_P)))
+        active, at = active[left > 8], at + 8
+    for k in np.flatnonzero(size > SHORT_SPAN).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes())
+    return out
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * U64(WORD_P) + b)
+
+
+def windows_hash(names: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of each n consecutive names, made from hashes of 1, 2, 4, ... of them; len(names) - n + 1 values."""
+    if len(names) < n:
+        return np.zeros(0, U64)
+    many, power, span, done, out = len(names) - n + 1, names.astype(U64), 1, 0, None
+    while True:
+        if n & span:
+            here = power[done : done + many]
+            out = mix(here + U64(n)) if out is None else _pair(out, here)
+            done += span
+        if done == n:
+            return out
+        power, span = _pair(power[:-span], power[span:]), 2 * span
+
+
+def lists_hash(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each list of 64-bit hashes that stand in a given order; list k is values[counts[k]:counts[k + 1]]."""
+    size = np.diff(counts)
     sums = np.zeros(len(values) + 1, U64)
-    np.cumsum((values.astype(U64) + U64(1)) * up[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xA24BAED4963EE407))
+    np.cumsum(mix(values.astype(U64) ^ mix(reps(size).astype(U64) + U64(1))), out=sums[1:])
+    return mix((sums[counts[1:]] - sums[counts[:-1]]) + size.astype(U64) * U64(BYTE_P))
 
 
 # ---------------------------------------------------------------- texts

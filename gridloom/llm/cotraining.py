@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTES, LOWER, cut, mix, spans_hash, text_chunks, words
+from .common import LOWER, bytes_hash, cut, mix, text_chunks, words
 from .toxicity import Lexicon, features, held_out
 from .trees import Boosted, calibrated, isotonic
 
@@ -36,7 +36,7 @@ def text_view(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     n = len(offs) - 1
     low = LOWER[data]
     starts, ends, counts = words(low, offs)
-    h, k = spans_hash(low, starts, ends, BYTES), np.maximum(np.diff(counts), 1)
+    h, k = bytes_hash(low, starts, ends), np.maximum(np.diff(counts), 1)
     rows = np.repeat(np.arange(n), np.diff(counts))
     order = np.lexsort((h, rows))
     new = np.ones(len(h), bool)
@@ -45,7 +45,7 @@ def text_view(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     line = np.zeros(256, bool)
     line[[10, 13]] = True
     ls, le, lc = words(low, offs, line)
-    lh, lrows = spans_hash(low, ls, le, BYTES), np.repeat(np.arange(n), np.diff(lc))
+    lh, lrows = bytes_hash(low, ls, le), np.repeat(np.arange(n), np.diff(lc))
     lorder = np.lexsort((lh, lrows))
     lnew = np.ones(len(lh), bool)
     lnew[1:] = (lh[lorder][1:] != lh[lorder][:-1]) | (lrows[lorder][1:] != lrows[lorder][:-1])

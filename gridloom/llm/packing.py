@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import BYTES, reps, spans_hash, text_chunks
+from .common import bytes_hash, reps, text_chunks
 
 # Ids of a sequence, the id that ends a document, penalties in ids of padding, ids of a settled block.
 SIZE, END_ID, SENTENCE, HARD, BLOCK = 2048, 1, 8, 64, 1 << 18
@@ -127,7 +127,7 @@ class Encoder:
     def fast(self, data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
         starts = self.pieces(data, offs)
         ends = np.append(starts[1:], len(data))
-        keys, at, back = np.unique(spans_hash(data, starts, ends, BYTES), return_index=True, return_inverse=True)
+        keys, at, back = np.unique(bytes_hash(data, starts, ends), return_index=True, return_inverse=True)
         place = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         new = np.flatnonzero(self.keys[place] != keys) if len(self.keys) else np.arange(len(keys))
         if len(new):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTES, WORDS, blob, cut, mix, partitions, reps, spans_hash, text_chunks, words
+from .common import blob, bytes_hash, cut, mix, partitions, reps, text_chunks, windows_hash, words
 
 # Words of a window, naming rounds.
 WINDOW, ROUNDS = 35, 2
@@ -74,12 +74,12 @@ def anchors(names: np.ndarray, counts: np.ndarray, window: int = WINDOW, rounds:
     least = np.minimum(least[first], least[first + width - have])
     anchor = (least & np.uint64((1 << bits) - 1)).astype(np.int64)
     # inside every window of an anchor: from `edge` words before it to window - (edge + width) words after it
-    return starts, anchor, spans_hash(names, anchor - edge, anchor + window - edge - width + 1, WORDS)
+    return starts, anchor, windows_hash(names, window - width + 1)[anchor - edge]
 
 
 def word_names(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     starts, ends, counts = words(data, offs)
-    return spans_hash(data, starts, ends, BYTES), counts, starts, ends
+    return bytes_hash(data, starts, ends), counts, starts, ends
 
 
 def dealt(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -224,7 +224,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, text: str
                 ids, hs = _keyed(b, i, j)
                 owner = np.searchsorted(counts, starts, "right") - 1
                 place = starts - counts[owner]
-                repeated, rows = probes(spans_hash(names, starts, starts + window, WORDS), owner, place, buckets)
+                repeated, rows = probes(windows_hash(names, window)[starts], owner, place, buckets)
                 yield _probe_batch(rows, ids, hs)
                 if repeated.any():
                     yield _settled(_back(owner[repeated], place[repeated].astype(np.int32), ids, hs, tasks))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTES, LOWER, SPACE, cut, mix, spans_hash, text_chunks, words
+from .common import LOWER, SPACE, bytes_hash, cut, mix, text_chunks, words
 from .trees import Boosted, calibrated, isotonic
 
 # Parameters: labelled texts of the sample, entries of the learned lexicon, different texts that an entry needs.
@@ -55,7 +55,7 @@ def _hashes(ws: list[str]) -> np.ndarray:
     out = []
     for w in ws:
         b = np.frombuffer(w.encode(), np.uint8)
-        out.append(spans_hash(b, np.zeros(1, np.int64), np.full(1, len(b)), BYTES)[0])
+        out.append(bytes_hash(b, np.zeros(1, np.int64), np.full(1, len(b)))[0])
     return np.unique(np.array(out, np.uint64))
 
 
@@ -69,8 +69,8 @@ def among(h: np.ndarray, table: np.ndarray) -> np.ndarray:
 def terms(low: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """Words of letters (starts, ends, counts, hashes) and the hashes of their beginnings (0 where a word is no longer)."""
     starts, ends, counts = words(low, offs, ~LETTER)
-    heads = [np.where(ends - starts > k, mix(spans_hash(low, starts, np.minimum(starts + k, ends), BYTES) + np.uint64(k)), np.uint64(0)) for k in HEADS]
-    return starts, ends, counts, spans_hash(low, starts, ends, BYTES), heads
+    heads = [np.where(ends - starts > k, mix(bytes_hash(low, starts, np.minimum(starts + k, ends)) + np.uint64(k)), np.uint64(0)) for k in HEADS]
+    return starts, ends, counts, bytes_hash(low, starts, ends), heads
 
 
 @dataclass
@@ -111,7 +111,7 @@ def features(data: np.ndarray, offs: np.ndarray, lexicon: Lexicon) -> np.ndarray
     keep = LETTER[plain] | SPACE[low]
     part, sub = plain[keep], np.concatenate([[0], np.cumsum(keep)])[offs]
     s2, e2, c2 = words(part, sub)
-    h2 = spans_hash(part, s2, e2, BYTES)
+    h2 = bytes_hash(part, s2, e2)
     undone = among(h2, HAND[0]) | among(h2, HAND[1])
     single = (e2 - s2) == 1
     spelled = single.copy()

@@ -36,12 +36,10 @@ def corpus(seed: int, n: int = 160) -> list[tuple]:
     return [(i, t, None, None, None, "clash") for i, t in rows]
 
 
-@pytest.mark.parametrize("short,rounds", [(8, 2), (2, 0)])
-def test_jaccard(spark, monkeypatch, short, rounds):
-    monkeypatch.setattr(jaccard, "SHORT", short)
-    monkeypatch.setattr(jaccard, "STAR_ROUNDS", rounds)
-    monkeypatch.setattr(jaccard, "BLOCK", 3)
-    monkeypatch.setattr(jaccard, "HELD", 2000)
+@pytest.mark.parametrize("short,split,wide,part", [(8, 16_384, 2048, 1_000_000), (2, 6, 1, 300), (4, 12, 20, 60)])
+def test_jaccard(spark, monkeypatch, short, split, wide, part):
+    for name, value in {"SHORT": short, "SPLIT": split, "WIDE": wide, "PART": part, "BLOCK": 3, "HELD": 2000, "TASK": 5000, "POSTINGS": 2000, "HEAP": 16}.items():
+        monkeypatch.setattr(jaccard, name, value)
     rows = corpus(1)
     got = jaccard.join(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
     sets = []
@@ -67,13 +65,43 @@ def test_jaccard(spark, monkeypatch, short, rounds):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
 
 
-def test_divide_skip():
+@pytest.mark.parametrize("heap,long", [(0, 0), (1000, 0), (0, 5), (20, 512)])
+def test_divide_skip(monkeypatch, heap, long):
+    monkeypatch.setattr(jaccard, "HEAP", heap)
+    monkeypatch.setattr(jaccard, "LONG", long)
     r = Random(5)
-    for _ in range(300):
-        lists = [sorted(r.sample(range(12), r.randint(1, 12))) for _ in range(r.randint(1, 30))]
-        need = [r.randint(1, 20) for _ in range(12)]
-        count = Counter(x for row in lists for x in row)
-        assert sorted(jaccard.divide_skip(lists, need)) == [x for x in range(12) if count[x] >= need[x]]
+    for _ in range(200):
+        sets = [set(r.sample(range(30), r.randint(1, 30))) for _ in range(12)]
+        index = jaccard.Lists(np.array([x for s in sets for x in s], np.uint64), np.array([len(s) for s in sets]))
+        query, need = r.sample(range(30), r.randint(1, 30)), [r.randint(1, 20) for _ in range(12)]
+        at = np.array([int(np.flatnonzero(index.tokens == x)[0]) for x in query if x in index.tokens])
+        assert index.divide_skip(at, np.array(need)).tolist() == [k for k in range(12) if len(sets[k] & set(query)) >= need[k]]
+        assert index.search(np.array(sorted(query), np.uint64)).tolist() == [k for k in range(12) if 100 * len(sets[k] & set(query)) >= 75 * len(sets[k] | set(query))]
+
+
+def test_hashes():
+    """Equal contents have equal hashes wherever they stand; strings that collide under polynomials modulo 2**64 differ here."""
+    from gridloom.llm.common import bytes_hash, lists_hash, windows_hash
+
+    a, b = "a", "b"
+    for _ in range(12):
+        a, b = a + b, b + a
+        data = np.frombuffer((a + b + a).encode(), np.uint8)
+        n = len(a)
+        h = bytes_hash(data, np.array([0, n, 2 * n]), np.array([n, 2 * n, 3 * n]))
+        assert h[0] == h[2] != h[1]
+        names = bytes_hash(data, np.arange(len(data)), np.arange(len(data)) + 1)
+        w = windows_hash(names, n)
+        assert len(w) == len(data) - n + 1 and w[0] == w[2 * n] != w[n]
+    r = Random(2)
+    spans = ["".join(r.choice("xy") for _ in range(r.randint(0, 90))) for _ in range(3000)]
+    data = np.frombuffer("".join(spans).encode(), np.uint8)
+    ends = np.cumsum([len(s) for s in spans])
+    h = bytes_hash(data, ends - [len(s) for s in spans], ends)
+    assert len(set(h.tolist())) == len(set(spans)) == len(set(zip(spans, h.tolist())))
+    values = np.array([5, 6, 7, 5, 6, 6, 5], np.uint64)
+    x = lists_hash(values, np.array([0, 2, 3, 5, 7, 7]))
+    assert x[0] == x[2] and len(set(x.tolist())) == 4
 
 
 def test_jaccard_empty(spark):
