@@ -71,20 +71,20 @@ def apportion(parties: DataFrame, group: list[str], key: str, weight: str, seats
 
 
 def mix_sizes(sizes: DataFrame) -> DataFrame:
-    """The mix of a table doc_id, source, size; adds source_size, target, taken, and the run: run_from, run_words, start (words before the document in its shard), shard_size, passes."""
+    """The mix of a table doc_id, source, size, h (its text's hash, which deals rows without id); adds source_size, target, taken, and the run: run_from, run_words, start (words before the document in its shard), shard_size, passes."""
     src = targets(sizes)
     src = src.withColumn("blocks", F.greatest(F.floor(F.sum("source_size").over(Window.partitionBy(F.lit(0))) / BLOCK), F.lit(1)))
     src = apportion(src, [], "rank", "target", "blocks").select(F.col("source").alias("src"), "rank", "source_size", "target", "quota")
     docs = sizes.join(src, sizes["source"].eqNullSafe(src["src"])).drop("src")
     shards_of = F.greatest(F.ceil(F.col("source_size") / SHARD), F.lit(1))
-    docs = docs.withColumn("hash", seeded(F.col("doc_id"))).withColumn("shard", F.col("hash") % shards_of)
+    docs = docs.withColumn("hash", seeded(F.coalesce(F.col("doc_id").cast("string"), F.col("h").cast("string")))).withColumn("shard", F.col("hash") % shards_of)
     shards = docs.groupBy("rank", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("seats"))
     shards = apportion(shards, ["rank"], "shard", "shard_size", "seats").select(F.col("rank").alias("r"), F.col("shard").alias("s"), "shard_size", F.least(F.col("quota") * BLOCK, F.col("shard_size") * MOST_REPEATS).alias("wanted"))
     docs = docs.join(shards, (docs["rank"] == shards["r"]) & (docs["shard"] == shards["s"])).drop("r", "s", "quota")
     z = F.greatest(F.col("shard_size"), F.lit(1))
     docs = docs.withColumn("passes", F.floor(F.col("wanted") / z)).withColumn("run_words", F.col("wanted") - F.col("passes") * z)
     docs = docs.withColumn("run_from", seeded(F.col("rank"), F.col("shard")) % F.ceil(z / BLOCK) * BLOCK)
-    order = Window.partitionBy("rank", "shard").orderBy("hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("rank", "shard").orderBy("hash", "doc_id", "size", "h").rowsBetween(Window.unboundedPreceding, 0)
     docs = docs.withColumn("start", F.sum("size").over(order) - F.col("size"))
 
     def shared(a: Column) -> Column:
@@ -95,4 +95,4 @@ def mix_sizes(sizes: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """mix_sizes() for documents; texts are read once, for their sizes."""
-    return mix_sizes(cut(docs.select(docs[key].alias("doc_id"), docs[source].alias("source"), size_of(docs[text]).alias("size")), "mix"))
+    return mix_sizes(cut(docs.select(docs[key].alias("doc_id"), docs[source].alias("source"), size_of(docs[text]).alias("size"), F.xxhash64(docs[text]).alias("h")), "mix"))
