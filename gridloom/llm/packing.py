@@ -1,14 +1,17 @@
 """Packing texts into sequences: order-preserving dynamic programming over window cuts.
 
-Tokenising: a text splits into words, numbers, signs and white space by character class in numpy; each distinct piece
-of a chunk is merged once and its ids are gathered for all places.  Texts with characters outside
-the class table (from U+0280 on) go through the tokenizer whole; the ids are the same either way (tested).
+Tokenising: ids are those of an unchanged tokenizer's encode(text, add_special_tokens=False).  Where the file has the plain
+byte-level split, a text splits into words, numbers, signs and white space by character class in numpy; each distinct piece
+of a chunk is merged once and its ids are gathered for all places.  Texts with characters outside the class table
+(from U+0280 on) or with an added token's content, and all texts under another kind of file, go through the tokenizer
+whole; the ids are the same either way (tested).
 
 Packing: documents stand in the order of their partition, as one stream of ids.  A window (sequence) has at most
 `size` ids.  Windows may end at a document's end (free), at a sentence's end (SENTENCE), or, where a sentence is
 longer than a window, anywhere in it (HARD).  With padding size - length, the least cost up to a cut j is
 f(j) = min over i with p(j) - p(i) <= size of (f(i) + p(i)) + size - p(j) + penalty(j): a sliding-window minimum, kept by
-a monotone queue in one pass.  The stream is settled in blocks of BLOCK ids; the last window of a block is carried over.
+a monotone queue in one pass.  The stream is settled as soon as BLOCK ids are held: up to the last cut that the best ways to all
+cuts from which a later window may start have in common, so the windows are those of one pass over the whole stream.
 
 Defined results: a null or empty text is its end id alone.  Each id lies in exactly one piece.  Rows with the same
 doc_id are documents of their own.  Sequence ids are the partition's number * 2**40 + a count: unique, and the same when a
@@ -17,11 +20,13 @@ lost task runs again.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +35,7 @@ from pyspark.sql import DataFrame
 
 from .common import bytes_hash, reps, text_chunks
 
-# Ids of a sequence, the id that ends a document, penalties in ids of padding, ids of a settled block.
+# Ids of a sequence, the id that ends a document, penalties in ids of padding, held ids from which the stream is settled.
 SIZE, END_ID, SENTENCE, HARD, BLOCK = 2048, 1, 8, 64, 1 << 18
 #: Distinct pieces that a worker remembers.
 CACHE = 1_500_000
@@ -64,15 +69,19 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.clear()
+        kind = json.loads(Path(path).read_text())
+        split = kind.get("pre_tokenizer") or {}
+        #: Whether pieces() is the file's split.
+        self.plain = not any(kind.get(k) for k in ("normalizer", "truncation", "padding")) and (split.get("type"), split.get("add_prefix_space"), split.get("use_regex", True)) == ("ByteLevel", False, True) and kind["model"].get("type") == "BPE" and not any(kind["model"].get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix"))
         vocab = self.tok.get_vocab(with_added_tokens=False)
         # merges of one piece: the same ranks in a faster library; the ids are equal (tested)
         bytes_of = byte_alphabet()
         ranks = {bytes(bytes_of[c] for c in token): i for token, i in vocab.items() if all(c in bytes_of for c in token)}
         added = {t.content for t in self.tok.get_added_tokens_decoder().values()}
+        self.added = [t.encode() for t in sorted(added)]
         ranks = {t: i for t, i in ranks.items() if t.decode(errors="replace") not in added}
-        self.merge = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        self.merge = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         ends = np.zeros(max(vocab.values()) + 2, bool)
         for token, i in vocab.items():
             ends[i] = token.endswith((".", "!", "?", "Ċ"))  # Ċ is how such vocabularies write a line feed
@@ -114,7 +123,7 @@ class Encoder:
     def learn(self, keys: np.ndarray, texts: list[bytes]) -> None:
         if len(self.keys) + len(keys) > CACHE:
             self.clear()
-        ids = [self.merge(t) for t in texts]
+        ids = [self.merge(t.decode()) for t in texts]
         flat = np.array([i for x in ids for i in x], np.uint32)
         lens = np.concatenate([np.diff(self.offs), np.array([len(x) for x in ids], np.int64)])
         begin = np.concatenate([self.offs[:-1], len(self.flat) + np.cumsum(lens[len(self.keys) :]) - lens[len(self.keys) :]])
@@ -144,7 +153,14 @@ class Encoder:
     def encode(self, data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
         n = len(offs) - 1
         high = np.concatenate([[0], np.cumsum(data > 0xC9)])
-        slow = (high[offs[1:]] - high[offs[:-1]]) > 0
+        slow = (high[offs[1:]] - high[offs[:-1]]) > 0 if self.plain else np.ones(n, bool)
+        raw = data.tobytes() if self.added else b""
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                k = int(np.searchsorted(offs, at, "right")) - 1
+                slow[k] |= at + len(token) <= offs[k + 1]
+                at = raw.find(token, int(offs[k + 1]) if slow[k] else at + 1)
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * n
         rows = np.flatnonzero(~slow & (np.diff(offs) > 0))
         if len(rows):
@@ -165,8 +181,11 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def cuts(doc_ends: np.ndarray, sentence_ends: np.ndarray, total: int, size: int) -> list[int]:
-    """Window ends (the last is total) of least padding plus penalties; places are ids from the stream's start."""
+def cuts(doc_ends: np.ndarray, sentence_ends: np.ndarray, total: int, size: int, last: bool = True) -> list[int]:
+    """Window ends (the last is total) of least padding plus penalties; places are ids from the stream's start.
+
+    Of a stream that goes on (its last place a document's end) only those that any continuation shares.
+    """
     penalty = dict.fromkeys(sentence_ends.tolist(), SENTENCE)
     penalty.update(dict.fromkeys(doc_ends.tolist(), 0))
     penalty[total] = 0
@@ -193,6 +212,13 @@ def cuts(doc_ends: np.ndarray, sentence_ends: np.ndarray, total: int, size: int)
             queue.pop()
         queue.append(j)
     out, j = [], len(places) - 1
+    if not last:
+        live = {k for k in range(len(places)) if places[k] > total - size}
+        while len(live) > 1:
+            j = max(live)
+            live.remove(j)
+            live.add(back[j])
+        (j,) = live
     while j:
         out.append(places[j])
         j = back[j]
@@ -212,9 +238,7 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, wit
         ends = np.cumsum([len(h[1]) for h in held])
         stream = np.concatenate([h[1] for h in held])
         marks = np.flatnonzero(enc.sentence_end[np.minimum(stream, len(enc.sentence_end) - 1)]) + 1
-        windows = cuts(ends, marks, len(stream), size)
-        if not last:
-            windows.pop()
+        windows = cuts(ends, marks, len(stream), size, last)
         done, rows, at, k = windows[-1] if windows else 0, [], 0, 0
         for w in windows:
             first = at
@@ -231,12 +255,13 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, wit
         return [[held[r[0]][0], held[r[0]][2] + r[1], r[2], zlib.crc32(stream[r[3] : r[3] + r[2]].tobytes()), held[r[0]][3], r[5], r[4], stream[r[3] : r[3] + r[2]]] for r in rows], rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, base, count, held, n = encoder(path), TaskContext.get().partitionId() << 40, 0, [], 0
+        enc, base, count, held, n, most = encoder(path), TaskContext.get().partitionId() << 40, 0, [], 0, BLOCK
 
         def flush(last: bool) -> pa.RecordBatch:
-            nonlocal held, n, count
+            nonlocal held, n, count, most
             rows, held = settle(held, enc, last)
             n = sum(len(h[1]) for h in held)
+            most = max(BLOCK, 2 * n)
             sequence, before = [], None
             for r in rows:
                 count += before is not None and r[5] != before
@@ -253,7 +278,7 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, wit
                     ids = np.append(ids, np.uint32(end_id))
                     held.append((keys[i + k], ids, 0, len(ids)))
                     n += len(ids)
-                    if n >= BLOCK:
+                    if n >= most:
                         yield flush(False)
         if held:
             yield flush(True)
