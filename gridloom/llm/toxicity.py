@@ -11,6 +11,7 @@ hashes; each text once).  labels, lang, source and doc_id are no inputs of a sco
 
 Defined results: null and empty texts are scored (all densities 0); without usable labels every score is 0; repeated rows
 get equal scores; labels with null or other values are left out, and a doc_id with several labels has the largest.
+A text's features and score don't depend on the rows beside it, nor on partitions.
 """
 
 from __future__ import annotations
@@ -92,10 +93,13 @@ def features(data: np.ndarray, offs: np.ndarray, lexicon: Lexicon) -> np.ndarray
     n = len(offs) - 1
     starts, ends, counts, h, heads = terms(low, offs)
 
-    def per(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def per(flags: np.ndarray, at: np.ndarray) -> np.ndarray:  # whole numbers: exact
         sums = np.concatenate([[0.0], np.cumsum(flags, dtype=np.float64)])
         return sums[at[1:]] - sums[at[:-1]]
 
+    def total(weights: np.ndarray) -> np.ndarray:  # of a row's words in their order, whatever stands beside the row
+        return np.bincount(rows, weights, n)
+
     n_words, n_bytes = np.maximum(np.diff(counts), 1), np.maximum(np.diff(offs), 1)
     hits = [among(h, t) for t in HAND]
     bad = hits[0] | hits[1]
@@ -114,20 +118,21 @@ def features(data: np.ndarray, offs: np.ndarray, lexicon: Lexicon) -> np.ndarray
     h2 = bytes_hash(part, s2, e2)
     undone = among(h2, HAND[0]) | among(h2, HAND[1])
     single = (e2 - s2) == 1
-    spelled = single.copy()
-    if len(single):
-        spelled[1:] &= single[:-1]
-        spelled[0] = False
+    begins = np.zeros(len(single) + 1, bool)
+    begins[c2] = True
+    spelled = single & ~begins[:-1]
+    spelled[1:] &= single[:-1]
 
     caps = (data >= 65) & (data <= 90)
     letter = LETTER[low]
     inside = np.zeros(len(low), bool)
     stretched = np.zeros(len(low), bool)
     doubled = np.zeros(len(low), bool)
-    if len(low) > 2:
-        inside[1:-1] = SYMBOL[low[1:-1]] & letter[:-2] & letter[2:]
-        stretched[2:] = letter[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2])
-        doubled[1:] = PUNCT[low[1:]] & (low[1:] == low[:-1])
+    first = np.zeros(len(low) + 1, bool)  # neighbours are of the same text
+    first[offs] = True
+    inside[1:-1] = SYMBOL[low[1:-1]] & letter[:-2] & letter[2:] & ~first[1:-2] & ~first[2:-1]
+    stretched[2:] = letter[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & ~first[2:-1] & ~first[1:-2]
+    doubled[1:] = PUNCT[low[1:]] & (low[1:] == low[:-1]) & ~first[1:-1]
     caps_before = np.concatenate([[0], np.cumsum(caps)])
     shouted = ((caps_before[ends] - caps_before[starts]) == ends - starts) & (ends - starts > 2)
     count_bad, count_best = per(bad, counts), per(best > 0, counts)
@@ -135,7 +140,7 @@ def features(data: np.ndarray, offs: np.ndarray, lexicon: Lexicon) -> np.ndarray
     np.maximum.at(most, rows, best)
     columns = [
         np.log1p(np.diff(counts)), np.log1p(np.diff(offs)), per(hits[0], counts) / n_words, np.minimum(per(hits[0], counts), 20), per(hits[1], counts) / n_words, per(hits[2], counts) / n_words,
-        per(hits[3], counts) / n_words, per(bad & near, counts) / n_words, np.minimum(count_bad, 20), per(word_odds, counts) / n_words, per(head_odds, counts) / n_words, per(best, counts), most,
+        per(hits[3], counts) / n_words, per(bad & near, counts) / n_words, np.minimum(count_bad, 20), total(word_odds) / n_words, total(head_odds) / n_words, total(best), most,
         np.minimum(count_best, 50), count_best / n_words, per(best > 2, counts), per(best > 2, counts) / n_words, per(caps, offs) / n_bytes, per(shouted, counts) / n_words, per(low == 33, offs) / n_bytes, per(low == 63, offs) / n_bytes,
         per(PUNCT[low], offs) / n_bytes, per(doubled, offs) / n_bytes, per(inside, offs) / n_bytes, per(stretched, offs) / n_bytes, np.maximum(per(undone, c2) - count_bad, 0), per(spelled, c2) / n_words, per(data >= 128, offs) / n_bytes,
     ]
@@ -159,11 +164,12 @@ def held_out(key: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """At most `most` labelled rows (doc_id, text, label, half), none held out; the rows are bounded, so is the broadcast."""
+    """At most `most` labelled rows (h, doc_id, text, label, half), none held out, each text once with its smallest doc_id's label; the rows are bounded, so is the broadcast."""
     ids = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
     ids = ids.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(most)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
-    return rows.withColumn("h", F.xxhash64("text")).dropDuplicates(["h"]).select("doc_id", "text", "label", (F.pmod("h", F.lit(2))).cast("int").alias("half"))
+    one = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.min(F.struct("doc_id", "label", "text")).alias("r"))
+    return one.select("h", "r.doc_id", "r.text", "r.label", F.pmod("h", F.lit(2)).cast("int").alias("half"))
 
 
 def _lexicons(rows: DataFrame, most: int, least: int) -> list[Lexicon]:
@@ -210,15 +216,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SA
             for i, j, data, offs in text_chunks(b):
                 half = np.array(b.column("half")[i:j].to_pylist(), np.int64)
                 x = np.where((half == 0)[:, None], features(data, offs, second), features(data, offs, first))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], b.column("label")[i:j].cast(pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
+                yield pa.RecordBatch.from_arrays([b.column("h")[i:j], b.column("label")[i:j].cast(pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], ["h", "label", "x"])
 
-    got = rows.select("doc_id", "label", "half", "text").mapInArrow(run, "doc_id long, label int, x array<double>").toArrow().sort_by("doc_id")
+    got = rows.select("h", "label", "half", "text").mapInArrow(run, "h long, label int, x array<double>").toArrow().sort_by("h")
     y = got.column("label").to_numpy().astype(float)
     if len(y) < 20 or y.min() == y.max():
         return Model(both, None, None)
     x = np.array(got.column("x").to_pylist())
-    # four fifths for the trees that are calibrated on the rest; then the same trees on all
-    fold = mix(got.column("doc_id").to_numpy().astype(np.uint64)) % np.uint64(5)
+    # four fifths (by the text's hash) for the trees that are calibrated on the rest; then the same trees on all
+    fold = mix(got.column("h").to_numpy().astype(np.uint64)) % np.uint64(5)
     raw = np.zeros(len(y))
     for k in range(5):
         raw[fold == k] = Boosted().fit(x[fold != k], y[fold != k]).raw(x[fold == k])
@@ -240,14 +246,16 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
 
 
 def flagged(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with `predicted`, without moving them."""
+    """docs with `predicted` (in place of a column of that name), without moving them."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
+    # a column of that name gives way
+    others = [k for k, c in enumerate(docs.columns) if c != "predicted"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data = pa.RecordBatch.from_arrays([b.column(at)], ["text"])
             s = [shared.value.score(d, o) for _, _, d, o in text_chunks(data)]
-            yield b.append_column("predicted", pa.array((np.concatenate([np.zeros(0), *s]) >= 0.5).astype(np.int32)))
+            yield b.select(others).append_column("predicted", pa.array((np.concatenate([np.zeros(0), *s]) >= 0.5).astype(np.int32)))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("predicted", T.IntegerType())]))
+    return docs.mapInArrow(run, T.StructType([*(docs.schema.fields[k] for k in others), T.StructField("predicted", T.IntegerType())]))
