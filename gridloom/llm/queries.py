@@ -22,8 +22,8 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by two co-trained views."""
-    docs = documents(spark, sf_dir)
-    return cotraining.score(docs, cotraining.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    views = cotraining.views(documents(spark, sf_dir))
+    return cotraining.score(views, cotraining.fit(views, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def op4_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
