@@ -73,11 +73,17 @@ def test_encoder_equals_tokenizer():
 
     from gridloom.llm.common import texts_of
 
-    enc, r = packing.Encoder(path()), random.Random(1)
+    from tokenizers import Tokenizer
+
+    enc, r, tok = packing.Encoder(path()), random.Random(1), Tokenizer.from_file(path())
     texts = ["".join(r.choice(" \n\t' \u0085stmdrevl.,!?12é²½ßÀ€漢 XyZ<|>endoftx") for _ in range(r.randrange(60))) for _ in range(2000)]
+    texts += ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "<|endoftext|", "|>", "<|endof", "text|>"]
+    r.shuffle(texts)
     data, offs = texts_of(pa.array(texts))
     for t, ids in zip(texts, enc.encode(data, offs), strict=True):
-        assert ids.tolist() == enc.tok.encode(t, add_special_tokens=False).ids
+        assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids
+    enc.plain = False
+    assert [x.tolist() for x in enc.encode(data[: offs[50]], offs[:51])] == [tok.encode(t, add_special_tokens=False).ids for t in texts[:50]]
 
 
 def test_packing(spark):
@@ -87,7 +93,9 @@ def test_packing(spark):
     texts = [*ODD, *(" ".join("".join(r.choice("abcdefgh") for _ in range(5)) + r.choice(["", "", "."]) for _ in range(r.choice([5, 100, 700, 3000]))) for _ in range(80))]
     df = frame(spark, texts).repartition(2)
     rows = packing.pack(df, path(), with_ids=True).collect()
-    tok = packing.encoder(path()).tok
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path())
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for x in rows:
         by_doc[x.doc_id].append(x)
@@ -106,6 +114,19 @@ def test_packing(spark):
     assert len(by_seq) <= total / 2048 * 1.06 + 2
 
 
+@pytest.mark.parametrize("block", [50, 400])
+def test_packing_settles_as_one_stream(spark, monkeypatch, block):
+    import random
+
+    r = random.Random(8)
+    texts = [" ".join(r.choice(["aa", "bb.", "cc"]) for _ in range(r.choice([0, 1, 5, 20, 60, 300]))) for _ in range(150)]
+    df = frame(spark, texts).coalesce(1)
+    rows = lambda: sorted(map(tuple, packing.pack(df, path(), size=32).collect()), key=str)
+    want = rows()
+    monkeypatch.setattr(packing, "BLOCK", block)
+    assert rows() == want
+
+
 def test_cuts_are_optimal():
     import random
 
@@ -259,6 +280,17 @@ def test_blocks():
     assert html_pages.blocks("") == [] and [b.text for b in html_pages.blocks("a < b <")] == ["a < b <"]
 
 
+def test_quotes_open_values_only_after_equals():
+    text = lambda page: [b.text for b in html_pages.blocks(page)]
+    assert text("<article><p title=it's>Hello world</p><p>second</p></article>") == ["Hello world", "second"]
+    assert text("<p>x <a href=foo'bar>link</a> y</p><p>tail</p>") == ["x link y", "tail"]
+    assert text("<p 'a>one</p><p \"b>two</p>") == ["one", "two"]
+    assert text("<p title = 'a > b' class=\"c > d\">one</p>") == ["one"]
+    assert text("<a href=x?a=\"b>one</a>") == ["one"]
+    assert text("<p title=\"never closed>one</p>") == []
+    assert text("<div title=\"x hidden y\">seen</div><div hidden>no</div><div style='display: none'>no</div><div data-x='1'hidden>no</div>") == ["seen"]
+
+
 def test_long_attributes_and_deep_pages():
     data = f"data-state='{'x' * 5000}'"
     got = html_pages.blocks(f'<div {data} style="display:none">no</div><div {data} class="advert">yes</div>')
@@ -351,16 +383,43 @@ def test_toxicity(spark):
     held = [r for r in got if r.doc_id in truth and r.held_out]
     assert len(got) == 908 and all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in held)
     assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.93
+    again = docs.repartition(7)
+    assert sorted((r.doc_id, r.score) for r in toxicity.score(again, toxicity.fit(again, labels)).collect()) == sorted((r.doc_id, r.score) for r in got)
     none = toxicity.fit(docs, labels.where("doc_id < 0"))
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
 
 
+def test_features_of_a_text_alone():
+    import random
+
+    import pyarrow as pa
+
+    from gridloom.llm.common import texts_of
+
+    r = random.Random(7)
+    texts = ["".join(r.choice("aAbk!!1 .é-") for _ in range(r.choice([0, 1, 2, 3, 40]))) for _ in range(400)]
+    keys = np.unique(toxicity.terms(toxicity.LOWER[texts_of(pa.array(texts))[0]], texts_of(pa.array(texts))[1])[3])
+    lexicon = toxicity.Lexicon(keys, np.random.default_rng(0).random(len(keys)) * 3)
+    for view in (lambda d, o: toxicity.features(d, o, lexicon), cotraining.text_view):
+        together = view(*texts_of(pa.array(texts)))
+        for k, t in enumerate(texts):
+            assert (view(*texts_of(pa.array([t])))[0] == together[k]).all()
+
+
 def test_quality(spark):
     docs, labels, _ = labelled(spark)
-    got = cotraining.score(docs, cotraining.fit(docs, labels)).collect()
+    views = cotraining.views(docs)
+    model = cotraining.fit(views, labels)
+    got = cotraining.score(views, model).collect()
     assert len(got) == 908 and all(0 <= r.score <= 1 for r in got)
-    none = cotraining.fit(docs, labels.where("doc_id < 0"))
-    assert {r.score for r in cotraining.score(docs, none).collect()} == {0.5}
+    want = {r.doc_id: r.quality for r in labels.collect()}
+    held = [r for r in got if r.held_out and r.doc_id in want]
+    assert len(held) > 50 and np.mean([r.predicted == want[r.doc_id] for r in held]) > 0.8
+    again = cotraining.views(docs.repartition(7))
+    assert sorted((r.doc_id, r.score) for r in cotraining.score(again, cotraining.fit(again, labels)).collect()) == sorted((r.doc_id, r.score) for r in got)
+    none = cotraining.fit(views, labels.where("doc_id < 0"))
+    assert {r.score for r in cotraining.score(views, none).collect()} == {0.5}
+    assert cotraining.score(cotraining.views(docs.limit(0)), model).count() == 0
 
 
 # ---- pipeline
