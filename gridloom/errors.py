@@ -15,6 +15,7 @@ MESSAGES = {
     "filter_dims": "the condition of FILTER has dimensions {extra} that its metric lacks",
     "expand_present": "EXPAND {dim}: already a dimension",
     "expand_repeated": "EXPAND {dims}: a dimension is repeated",
+    "coalesce_mismatch": "the cells and what stands in for blanks differ: {first} and {second}",
     "ifblank_kind": "the default of IFBLANK must be {kind}",
     "no_property_or_metric": "{dim} has no property {prop}, and no metric has that name",
     "by_target_present": "{what}: {target} is already a dimension",

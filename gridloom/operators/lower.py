@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import aggregate
-from ..plans.analyze import COMPARE, by_metric, infer, union
+from ..plans.typecheck import COMPARE, by_metric, infer, union
 from ..plans.ast import AsAxis, Bin, By, Coalesce, Const, DimRef, Expand, Filter, If, IfBlank, IsBlank, Member, Node, Not, On, Ref, Remove, Select, Shift
 from .frames import Frame, Scalar, fresh, inner, left, outer
 

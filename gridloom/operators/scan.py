@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.analyze import COMPARE, edges, infer
+from ..plans.analyze import edges
 from ..plans.ast import Bin, Coalesce, Const, Expand, Filter, If, IfBlank, IsBlank, Node, Not, On, Ref, Shift
+from ..plans.typecheck import COMPARE, infer
 from .frames import Frame, Scalar
 from .lower import Lowering
 

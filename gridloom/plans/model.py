@@ -25,7 +25,8 @@ from ..operators.frames import Frame
 from ..operators.lower import Lowering
 from ..operators.scan import scan
 from . import analyze
-from .analyze import Type, bind, dense_nodes, edges, infer, order, scan_dim
+from .analyze import bind, dense_nodes, edges, order, scan_dim
+from .typecheck import Type, infer
 from .ast import Coalesce, Member, Node, Ref, Select
 from .catalog import Dim, Metric, Prop
 from .parser import parse
