@@ -2,7 +2,7 @@
 
 SUM in exact mode is correctly rounded and independent of order, and still aggregates map-side: each double is an integer times a
 power of two that is a multiple of 32, so a group's sum is a few exact integer sums (decimal, JVM side), one for each such
-power; only those few numbers a group are combined in Python.
+power.  A group with one of them, as most are, is settled there too; only the few numbers of other groups are combined in Python.
 """
 
 from __future__ import annotations
@@ -46,6 +46,9 @@ def most(v: Column) -> Column:
 def _combined(parts: pd.Series) -> pd.Series:
     out = []
     for p in parts:
+        if p is None:  # settled without
+            out.append(0.0)
+            continue
         total = sum((Fraction((int(x["hi"]) << 44) + int(x["lo"])) * Fraction(2) ** int(x["b"]) for x in p), Fraction(0))
         try:
             out.append(float(total))
@@ -69,7 +72,29 @@ def exact_sum(df: DataFrame, keys: list[str], v: str = "v") -> DataFrame:
     whole = part.groupBy(*keys).agg(F.collect_list(F.struct(F.col("_b").alias("b"), F.col("hi").cast("string").alias("hi"), F.col("lo").cast("string").alias("lo"))).alias("_parts"), F.sum("_n").alias("n"), F.bool_or("_nan").alias("_nan"), F.bool_or("_up").alias("_up"), F.bool_or("_down").alias("_down"))
     special = F.when(F.col("_nan") | (F.col("_up") & F.col("_down")), F.lit(float("nan"))).when(F.col("_up"), F.lit(float("inf"))).when(F.col("_down"), F.lit(float("-inf")))
     odd = F.col("_nan") | F.col("_up") | F.col("_down")
-    return whole.where("n > 0").select(*keys, F.when(odd, special).otherwise(_combined("_parts")).alias(v), "n")
+    # one power and a sum that a decimal holds: the decimal's double is correctly rounded, and a power of two scales it exactly
+    one = F.element_at("_parts", 1)
+    plain = (F.size("_parts") == 1) & (F.length(one["hi"]) <= 23) & one["b"].between(-900, 800)
+    digits = one["hi"].cast("decimal(24,0)") * F.lit(2**44).cast("decimal(14,0)") + one["lo"].cast("decimal(28,0)")
+    near = F.when(plain, digits.cast("double") * F.pow(F.lit(2.0), one["b"]))
+    return whole.where("n > 0").select(*keys, F.when(odd, special).when(plain, near).otherwise(_combined(F.when(~plain & ~odd, F.col("_parts")))).alias(v), "n")
+
+
+def aggregate_all(df: DataFrame, keys: list[str], aggs: list[str], exact: bool = False) -> DataFrame:
+    """keys and a column for each aggregation, from one pass over the cells; exact sums take one more beside MIN and MAX."""
+    v = F.col("v")
+    plain = {"sum": F.sum(v), "avg": F.avg(v), "min": least(v), "max": most(v), "count": F.count("*").cast("double")}
+    summed = exact and bool({"sum", "avg"} & set(aggs))
+    rest = [a for a in aggs if not summed or a in ("min", "max")]
+    parts = []
+    if summed:
+        from_sum = {"sum": F.col("v"), "avg": F.col("v") / F.col("n"), "count": F.col("n").cast("double")}
+        parts.append(exact_sum(df, keys).select(*keys, *(from_sum[a].alias(a) for a in aggs if a in from_sum)))
+    if rest:
+        parts.append(df.groupBy(*keys).agg(*(plain[a].alias(a) for a in rest), F.count("*").alias("_n")).where("_n > 0").drop("_n"))
+    if len(parts) == 1:
+        return parts[0]
+    return parts[0].join(parts[1], keys) if keys else parts[0].crossJoin(parts[1])
 
 
 def aggregate(df: DataFrame, keys: list[str], agg: str, exact: bool = False) -> DataFrame:

@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,7 +145,8 @@ def scan(model, group: list[str], dim: str) -> dict[str, Frame]:
         cells = f.cells("x").withColumn("x", F.col("x").cast("double"))
         at = F.col(dim) if dim in t.dims else F.lit(-1)
         cells = cells.select(*own, F.struct(at.cast("int").alias("t"), F.col("x")).alias("e")).groupBy(*own).agg(F.collect_list("e").alias(f"o{k}"))
-        table = table.join(cells, own, "left") if own else table.crossJoin(cells if not cells.isEmpty() else model.spark.range(1).select(F.lit(None).cast("array<struct<t:int,x:double>>").alias(f"o{k}")))
+        # an aggregation without keys is one row, also of no cells
+        table = table.join(cells, own, "left") if own else table.crossJoin(F.broadcast(cells))
     kinds = {m: model.metrics[m].kind for m in group}
     n = len(operands)
     schema = ", ".join([*(f"{d} {model.dims[d].key_type}" for d in row), f"{dim} int", *(f"{m} double" for m in group)])
@@ -155,10 +157,12 @@ def scan(model, group: list[str], dim: str) -> dict[str, Frame]:
                 rows = len(b)
                 values, there = [np.zeros((rows, periods)) for _ in range(n)], [np.zeros((rows, periods), bool) for _ in range(n)]
                 for k in range(n):
-                    for r, es in enumerate(b.column(f"o{k}").to_pylist()):
-                        for e in es or ():
-                            at = slice(None) if e["t"] < 0 else e["t"]
-                            values[k][r, at], there[k][r, at] = e["x"], True
+                    lists = b.column(f"o{k}")
+                    owner = np.repeat(np.arange(rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+                    time, x = (np.asarray(c) for c in lists.flatten().flatten())
+                    whole = time < 0  # a cell without the dimension holds for all periods
+                    values[k][owner[whole]], there[k][owner[whole]] = x[whole][:, None], True
+                    values[k][owner[~whole], time[~whole]], there[k][owner[~whole], time[~whole]] = x[~whole], True
                 got = fold(trees, group, periods, values, there, kinds)
                 r, t = np.nonzero(reduce(np.logical_or, (p for _, p in got.values())))
                 cols = [b.column(d).take(pa.array(r)) for d in row] + [pa.array(t.astype(np.int32))]
@@ -190,17 +194,14 @@ def running_sum(low: Lowering, metric: str, formula: Node, dim: str) -> Frame |
 
 
 def by_period(low: Lowering, group: list[str], dim: str) -> dict[str, Frame]:
-    """Periods one after another; what is done so far is cut every few periods, so plans stay small."""
+    """Periods one after another.  Each period's cells are written once, and later periods read the pieces."""
     model = low.model
-    done: dict[str, DataFrame] = {}
+    done: dict[str, list[DataFrame]] = {m: [model.empty(m).cells().select(*model.metrics[m].dims, "v")] for m in group}
+    whole = lambda m: Frame(reduce(DataFrame.unionByName, done[m]), model.metrics[m].dims, F.col("v"), model.metrics[m].kind)
     for t in range(model.dims[dim].size):
         for m in group:
             metric = model.metrics[m]
-            with model.standing({g: Frame(df, model.metrics[g].dims, F.col("v"), model.metrics[g].kind) for g, df in done.items()} | {g: model.empty(g) for g in group if g not in done}):
+            with model.standing({g: whole(g) for g in group}):
                 f = Lowering(model).formula(model.formula_of(m), metric.dims)
-            now = f.cells().where(F.col(dim) == t).select(*metric.dims, "v")
-            done[m] = now if m not in done else done[m].unionByName(now)
-            done[m] = model.cut(done[m])
-    return {m: Frame(df, model.metrics[m].dims, F.col("v"), model.metrics[m].kind) for m, df in done.items()}
-
-
+            done[m].append(model.cut(f.cells().where(F.col(dim) == t).select(*metric.dims, "v")))
+    return {m: whole(m) for m in group}

@@ -24,15 +24,26 @@ from ..functions.aggregates import aggregate
 from ..operators.frames import Frame
 from ..operators.lower import Lowering
 from ..operators.scan import scan
-from . import analyze
+from . import analyze, regions
 from .analyze import bind, dense_nodes, edges, order, scan_dim
-from .typecheck import Type, infer
-from .ast import Coalesce, Member, Node, Ref, Select
+from .ast import Coalesce, Member, Node, Ref, Select, from_json, to_json
 from .catalog import Dim, Metric, Prop
 from .parser import parse
+from .typecheck import Type, infer
 
 # Parameters: written cells that a metric holds on the driver before they are merged into its table; default cell limit.
 MOST_EDITS, MAX_CELLS = 10_000, 1_000_000_000
+#: Updates of a kept table by regions before it is written anew.
+PATCHES = 8
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's; a local one only where both are unset (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = own.get() if own.isDefined() else "file://" + os.path.join(tempfile.gettempdir(), "gridloom-shared")
+    return found.rstrip("/")
 
 
 class Conflict(ValueError):
@@ -51,6 +62,9 @@ class Model:
         self.version = 0
         self._frames: dict[str, Frame] = {}
         self._kept: dict[str, DataFrame] = {}
+        self._stale: dict[str, regions.Box] = {}  # what edits may have changed in kept tables
+        self._patched: dict[str, int] = {}
+        self.refreshed: dict[str, tuple[regions.Box, DataFrame]] = {}  # a kept metric's last update: its region and the cells evaluated for it
         self._next = 0
 
     # ---------------------------------------------------------------- names
@@ -85,8 +99,7 @@ class Model:
 
     def cut(self, df: DataFrame) -> DataFrame:
         """df written to the folder of spark.checkpoint.dir (a local one only where that is unset) and read again."""
-        top = self.spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + os.path.join(tempfile.gettempdir(), "gridloom-shared")
-        path = f"{top.rstrip('/')}/cells-{uuid.uuid4().hex}"
+        path = f"{shared_folder(self.spark)}/cells-{uuid.uuid4().hex}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -107,10 +120,10 @@ class Model:
                 raise ValueError(f"{name}: a member is repeated")
             dim.members = list(enumerate(names))
         self.dims[dim.uid] = dim
-        self.log.append({"op": "add_dimension", "name": name, "members": None if dim.members is None else [n for _, n in dim.members], "ordered": ordered})
+        self.log.append({"op": "add_dimension", "name": name, "members": None if dim.members is None else [n for _, n in dim.members], "ordered": ordered, "table": members if isinstance(members, DataFrame) else None})
         return dim
 
-    def add_property(self, dim: str, prop: str, target: str, mapping: Mapping[Any, Any] | DataFrame) -> Prop:
+    def add_property(self, dim: str, prop: str, target: str, mapping: Mapping[Any, Any] | DataFrame, moved: regions.Box | None = None) -> Prop:
         """mapping: member names to member names, or a DataFrame (src, dst) of keys; members may be left out."""
         d, t = self.dim_named(dim), self.dim_named(target)
         if isinstance(mapping, DataFrame):
@@ -120,8 +133,8 @@ class Model:
         old = next((p for p in d.props.values() if p.name == prop), None)
         out = Prop(old.uid if old else self._uid("p"), prop, t.uid, table)
         d.props[out.uid] = self.props[out.uid] = out
-        self._changed({out.uid})
-        self.log.append({"op": "add_property", "dim": dim, "prop": prop, "target": target, "values": None if isinstance(mapping, DataFrame) else {str(a): b for a, b in mapping.items()}})
+        self._changed({out.uid: moved or {}})
+        self.log.append({"op": "add_property", "dim": dim, "prop": prop, "target": target, "values": None if isinstance(mapping, DataFrame) else {str(a): b for a, b in mapping.items()}, "table": table if isinstance(mapping, DataFrame) else None})
         return out
 
     def set_property_values(self, dim: str, prop: str, values: Mapping[str, str | None]) -> None:
@@ -129,14 +142,25 @@ class Model:
         p = next(p for p in d.props.values() if p.name == prop)
         t = self.dims[p.target]
         mine = self.spark.createDataFrame([(d.key(a), None if b is None else t.key(b)) for a, b in values.items()], f"src {d.key_type}, dst {t.key_type}")
-        done = len(self.log)
-        self.add_property(dim, prop, t.name, p.table.join(mine, "src", "left_anti").union(mine.where("dst is not null")))
+        done, moved = len(self.log), {}
+        if self._kept and len(values) <= regions.MOST:
+            keys = frozenset(d.key(a) for a in values)
+            old = {r[0] for r in p.table.where(F.col("src").isin(sorted(keys))).select("dst").distinct().collect()}
+            moved = {"src": keys, "dst": frozenset(old | {t.key(b) for b in values.values() if b is not None})}
+        self.add_property(dim, prop, t.name, p.table.join(F.broadcast(mine) if len(values) <= MOST_EDITS else mine, "src", "left_anti").union(mine.where("dst is not null")), moved)
         del self.log[done:]
         self.log.append({"op": "set_property_values", "dim": dim, "prop": prop, "values": dict(values)})
 
     def _kind(self, kind: str) -> str:
         return f"member:{self.dim_named(kind[7:]).uid}" if kind.startswith("member:") else kind
 
+    def _shown_kind(self, kind: str) -> str:
+        return f"member:{self.dims[kind[7:]].name}" if kind.startswith("member:") else kind
+
+    def _by_name(self, m: Metric, df: DataFrame) -> DataFrame:
+        """Cells with a column of keys for each dimension, under its name."""
+        return df.select(*(F.col(u).alias(self.dims[u].name) for u in m.dims), "v")
+
     def v_type(self, kind: str) -> str:
         return {"number": "double", "boolean": "boolean"}.get(kind) or self.dims[kind[7:]].key_type
 
@@ -160,8 +184,8 @@ class Model:
             self._new_name(name)
         metric = Metric(old or self._uid("m"), name, uids, kind, base)
         self.metrics[metric.uid] = metric
-        self._changed({metric.uid})
-        self.log.append({"op": "add_input", "name": name, "dims": list(dims), "kind": kind, "cells": None if isinstance(cells, DataFrame) else [[list(k) if isinstance(k, tuple) else [k], v] for k, v in (cells or {}).items()]})
+        self._reset({metric.uid})
+        self.log.append({"op": "add_input", "name": name, "dims": list(dims), "kind": self._shown_kind(kind), "cells": None if isinstance(cells, DataFrame) else [[list(k) if isinstance(k, tuple) else [k], v] for k, v in (cells or {}).items()], "table": self._by_name(metric, base) if isinstance(cells, DataFrame) else None})
         return metric
 
     def add_formula(self, name: str, dims: Iterable[str], formula: str | Node, kind: str = "number", overridable: bool = False) -> Metric:
@@ -183,8 +207,9 @@ class Model:
         except ValueError:
             self.metrics = before
             raise
-        self._changed({metric.uid})
-        self.log.append({"op": "add_formula", "name": name, "dims": list(dims), "formula": formula if isinstance(formula, str) else None, "kind": kind, "overridable": overridable})
+        self._kept.pop(metric.uid, None)
+        self._changed({metric.uid: {}})
+        self.log.append({"op": "add_formula", "name": name, "dims": list(dims), "formula": formula if isinstance(formula, str) else to_json(formula), "kind": self._shown_kind(kind), "overridable": overridable})
         return metric
 
     def _check(self, metric: Metric) -> None:
@@ -207,7 +232,7 @@ class Model:
         users = [m.name for m in self.metrics.values() if m.formula is not None and m.uid != uid and any(t == uid for t, _, _ in edges(m.formula))]
         if users:
             raise ValueError(f"{name} is used by {', '.join(users)}")
-        self._changed({uid})
+        self._reset({uid})
         del self.metrics[uid]
         self.log.append({"op": "remove_metric", "name": name})
 
@@ -245,7 +270,7 @@ class Model:
         for p, v in (properties or {}).items():
             self.set_property_values(dim, p, {member: v})
         del self.log[done:]
-        self._changed({d.uid})
+        self._changed({d.uid: {d.uid: frozenset({d.key(member)})}})
         self.log.append({"op": "add_member", "dim": dim, "member": member, "at": at, "properties": dict(properties or {})})
 
     def move_member(self, dim: str, member: str, at: int) -> None:
@@ -273,6 +298,8 @@ class Model:
         for m in self.metrics.values():
             if m.formula is not None and any((isinstance(n, (Member, Select)) and n.dim == d.uid and n.member == key) for n in m.formula.walk()):
                 raise ValueError(f"{m.name} names {dim}.{member}")
+        pointed = d.ordered or any(m.kind == f"member:{d.uid}" for m in self.metrics.values()) or any(p.target == d.uid for p in self.props.values())
+        gone: dict[str, regions.Box] = {d.uid: {d.uid: frozenset({key})}}
         move = lambda c: F.when(c > key, c - 1).otherwise(c).cast("int") if d.ordered else c
         for m in self.metrics.values():
             if m.base is None or (d.uid not in m.dims and m.kind != f"member:{d.uid}"):
@@ -281,8 +308,10 @@ class Model:
             for c in [q for q in m.dims if q == d.uid] + ["v"] * (m.kind == f"member:{d.uid}"):
                 df = df.where(F.col(c) != key).withColumn(c, move(F.col(c)))
             m.base, m.edits = df, {}
+            gone[m.uid] = {d.uid: frozenset({key})}
         for p in self.props.values():
             if p.uid in d.props:
+                gone[p.uid] = {"src": frozenset({key}), "dst": frozenset(r[0] for r in p.table.where(F.col("src") == key).select("dst").collect())}
                 p.table = p.table.where(F.col("src") != key).withColumn("src", move(F.col("src")))
             if p.target == d.uid:
                 p.table = p.table.where(F.col("dst") != key).withColumn("dst", move(F.col("dst")))
@@ -297,8 +326,11 @@ class Model:
                 m.formula = None if m.formula is None else fix(m.formula)
         d.members = [(k - 1 if d.ordered and k > key else k, n) for k, n in d.members if k != key]
         d.changed()
-        self._frames.clear()
-        self._kept.clear()
+        if pointed:  # keys or values elsewhere have moved
+            self._frames.clear()
+            self._kept.clear()
+        else:
+            self._changed(gone)
         self.log.append({"op": "remove_member", "dim": dim, "member": member})
 
     # ---------------------------------------------------------------- cells
@@ -339,19 +371,29 @@ class Model:
         """Writes cells by member names, the last write of a key wins; or a DataFrame of keys and `v` (null: blank) with unique keys."""
         m = self._target(name)
         if isinstance(cells, DataFrame):
-            # large changes are a table of their own, which the record names
+            # large changes are a table of their own, which the record holds
             table = self.cut(cells.select(*(f"`{self.dims[u].name}`" for u in m.dims), "v"))
-            self.log.append({"op": "write_table", "name": name, "files": table.inputFiles()})
+            self.log.append({"op": "write_table", "name": name, "table": table})
             edits = table.select(*(F.col(f"`{self.dims[u].name}`").cast(self.dims[u].key_type).alias(u) for u in m.dims), F.col("v").cast(self.v_type(m.kind)).alias("v"))
+            box = {}
+            if self._kept:
+                for u in m.dims:
+                    few = edits.select(u).distinct().limit(regions.MOST + 1).collect()
+                    box |= {u: frozenset(r[0] for r in few)} if len(few) <= regions.MOST else {}
             now = self.input(m.uid)
             m.base, m.edits = self.cut(now.join(edits.select(*m.dims), list(m.dims), "left_anti").unionByName(edits.where("v is not null"))), {}
         else:
+            written = []
             for names, value in cells:
-                m.edits[self._keys(m.dims, names)] = None if value is None else self._value(name, m.kind, value)
+                written.append(self._keys(m.dims, names))
+                m.edits[written[-1]] = None if value is None else self._value(name, m.kind, value)
                 self.log.append({"op": "set_cell", "name": name, "key": list(names), "value": value})
             if len(m.edits) > MOST_EDITS:
                 m.base, m.edits = self.cut(self.input(m.uid)), {}
-        self._changed({m.uid})
+            if not written:
+                return
+            box = regions.box_of(m.dims, written)
+        self._changed({m.uid: box})
 
     def input(self, uid: str) -> DataFrame:
         """Cells of an input with what was written since; written cells are few (MOST_EDITS), so their side is broadcast."""
@@ -391,8 +433,9 @@ class Model:
             new = region.withColumn("v", F.lit(float(total)) / F.lit(n))
         new = self.cut(new.select(*m.dims, "v"))
         m.base, m.edits = self.cut(self.input(m.uid).join(new, list(m.dims), "left_anti").unionByName(new)), {}
-        self._changed({m.uid})
-        self.log.append({"op": "spread", "name": name, "total": total, "coords": dict(coords or {}), "how": how, "where": dict(where or {})})
+        listed = lambda x: x if isinstance(x, (list, tuple, set)) else [x]
+        self._changed({m.uid: {self.dim_named(d).uid: frozenset(self.dim_named(d).key(x) for x in listed(members)) for d, members in (coords or {}).items()}})
+        self.log.append({"op": "spread", "name": name, "total": total, "coords": dict(coords or {}), "how": how, "where": dict(where or {}), "table": self._by_name(m, new)})
         return n
 
     def _region(self, df: DataFrame, m: Metric, coords: Mapping[str, Any], where: Mapping[str, Any] | None = None) -> DataFrame:
@@ -439,24 +482,49 @@ class Model:
             return self._frames[uid]
         m = self.metrics[uid]
         if uid in self._kept:
+            if uid in self._stale:
+                self._refresh(uid)
             self._frames[uid] = Frame(self._kept[uid], m.dims, F.col("v"), m.kind)
-        elif m.formula is None:
-            self._frames[uid] = Frame(self.input(uid), m.dims, F.col("v"), m.kind)
         else:
-            formulas = {k: q.formula for k, q in self.metrics.items() if q.formula is not None}
-            group = next(g for g in order(formulas) if uid in g)
-            found = scan_dim(group, formulas, self)
-            if found is None:
-                self._frames[uid] = Lowering(self).formula(self.formula_of(uid), m.dims)
-            else:
-                got = scan(self, found[1], found[0])
-                self._frames.update(got)
+            self._frames[uid] = self._evaluated(uid)
         return self._frames[uid]
 
+    def _evaluated(self, uid: str) -> Frame:
+        """A metric's frame from what it is made of, whether it is kept or not."""
+        m = self.metrics[uid]
+        if m.formula is None:
+            return Frame(self.input(uid), m.dims, F.col("v"), m.kind)
+        formulas = {k: q.formula for k, q in self.metrics.items() if q.formula is not None}
+        group = next(g for g in order(formulas) if uid in g)
+        found = scan_dim(group, formulas, self)
+        if found is None:
+            return Lowering(self).formula(self.formula_of(uid), m.dims)
+        got = scan(self, found[1], found[0])
+        self._frames.update({k: f for k, f in got.items() if k not in self._kept})
+        return got[uid]
+
+    def _refresh(self, uid: str) -> None:
+        """Evaluates the region of a kept metric that edits may have changed, and puts it in place of the old cells.
+
+        The region's filter is part of the plan, so Catalyst reads, joins and aggregates only what it needs."""
+        box = self._stale.pop(uid)
+        fresh = self._evaluated(uid).cells()
+        if not box:  # all of it
+            self._kept[uid], self._patched[uid] = self.cut(fresh), 0
+            self.refreshed[self.metrics[uid].name] = (box, self._kept[uid])
+            return
+        patch = self.cut(fresh.where(regions.inside(box)))
+        self._kept[uid] = regions.replaced(self._kept[uid], box, patch)
+        self._patched[uid] = self._patched.get(uid, 0) + 1
+        if self._patched[uid] >= PATCHES:
+            self._kept[uid], self._patched[uid] = self.cut(self._kept[uid]), 0
+        self.refreshed[self.metrics[uid].name] = (box, patch)
+
     def keep(self, name: str) -> DataFrame:
-        """Writes a formula's cells once; readers of it start from there until something it depends on changes."""
+        """Writes a formula's cells once; readers of it start from there.  After edits only the cells that they may have changed are evaluated again, when the metric is read."""
         uid = self.metric_named(name).uid
         self._kept[uid] = self.cut(self.frame(uid).cells())
+        self._patched[uid] = 0
         for k in self._downstream({uid}):
             self._frames.pop(k, None)
         return self._kept[uid]
@@ -476,18 +544,32 @@ class Model:
                     grew = True
         return out
 
-    def _changed(self, ids: set[str]) -> None:
+    def _changed(self, boxes: dict[str, regions.Box]) -> None:
+        """Notes what edits may have changed in kept metrics (boxes by id of metric, property or dimension)."""
+        below = self._downstream(set(boxes))
+        for uid in below:
+            self._frames.pop(uid, None)
+        if below & self._kept.keys():
+            for uid, box in regions.spread_of(self, boxes).items():
+                if uid in self._kept:
+                    self._stale[uid] = regions.both(self._stale.get(uid), box)
+
+    def _reset(self, ids: set[str]) -> None:
+        """Drops what is kept of the metrics that depend on the ids."""
         for uid in self._downstream(ids):
             self._frames.pop(uid, None)
             self._kept.pop(uid, None)
+            self._stale.pop(uid, None)
 
     def recalc(self) -> dict[str, DataFrame]:
-        """Keeps all formula metrics, level by level; those of a level don't depend on each other."""
+        """Keeps all formula metrics, level by level (those of a level don't depend on each other); kept ones are brought up to date."""
         formulas = {k: m.formula for k, m in self.metrics.items() if m.formula is not None}
         for level in analyze.levels(formulas):
             for uid in level:
                 if uid not in self._kept:
                     self.keep(self.metrics[uid].name)
+                elif uid in self._stale:
+                    self.frame(uid)
         return {self.metrics[u].name: self._kept[u] for u in formulas}
 
     # ---------------------------------------------------------------- reads
@@ -576,10 +658,11 @@ class Model:
         both = a.join(b, dims, "full_outer") if dims else a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one", "full_outer").drop("_one")
         return both.where(~F.col("old").cast("string").eqNullSafe(F.col("new").cast("string")))
 
-    def sql(self, text: str) -> DataFrame:
+    def sql(self, text: str, max_cells: int | None = None) -> DataFrame:
+        """Rows of a SELECT; with max_cells an error if there would be more cells (rows times columns)."""
         from .sqlread import run
 
-        return run(self, text)
+        return run(self, text, max_cells)
 
     # ---------------------------------------------------------------- versions
 
@@ -592,6 +675,7 @@ class Model:
             d.props = {k: out.props[k] for k in d.props}
         out.warnings, out.version, out.outcomes = dict(self.warnings), self.version, dict(self.outcomes)
         out._frames, out._kept, out._next = dict(self._frames), dict(self._kept), self._next
+        out._stale, out._patched = dict(self._stale), dict(self._patched)
         return out
 
     @contextmanager
@@ -612,26 +696,45 @@ class Model:
         if client_op_id is not None:
             work.outcomes[client_op_id] = work.version
         if journal is not None:
-            journal.append(work.version, work.log, user, reason, client_op_id)
+            journal.append(work.version, [self._with_old(op) for op in work.log], user, reason, client_op_id)
         self.__dict__.update(work.__dict__)
 
+    def _with_old(self, op: Mapping[str, Any]) -> dict[str, Any]:
+        """An operation on cells with what stood there before the transaction (None or null: blank)."""
+        if op["op"] not in ("set_cell", "write_table", "spread") or op["name"] not in self.metric_ids:
+            return dict(op)
+        m = self._target(op["name"])
+        if op["op"] == "set_cell":
+            try:
+                keys = self._keys(m.dims, tuple(op["key"]))
+            except FormulaError:  # a member of this transaction
+                return dict(op, old=None)
+            row = self.input(m.uid).where(reduce(Column.__and__, (F.col(u) == k for u, k in zip(m.dims, keys, strict=True)), F.lit(True))).head()
+            label = self.dims[m.kind[7:]].label if m.kind.startswith("member:") else lambda v: v
+            return dict(op, old=None if row is None else label(row["v"]))
+        names = [self.dims[u].name for u in m.dims]
+        before = self._by_name(m, self.input(m.uid)).withColumnRenamed("v", "_old")
+        return dict(op, table=op["table"].join(before, names, "left") if names else op["table"].crossJoin(before))
+
     def apply(self, ops: Iterable[Mapping[str, Any]]) -> None:
-        """Does what a journal record holds."""
+        """Does what a journal record holds; tables are DataFrames, or the folders that hold them."""
         for op in ops:
             a = dict(op)
+            table = a.pop("table", None)
+            table = self.spark.read.parquet(table["parquet"]) if isinstance(table, dict) else table
             match a.pop("op"):
                 case "set_cell":
                     self.write_many(a["name"], [(tuple(a["key"]), a["value"])])
                 case "write_table":
-                    self.write_many(a["name"], self.spark.read.parquet(*a["files"]))
+                    self.write_many(a["name"], table.drop("_old"))
+                case "add_dimension":
+                    self.add_dimension(a["name"], a["members"] if table is None else table, a["ordered"])
                 case "add_input":
-                    kind = a["kind"] if not a["kind"].startswith("member:") else f"member:{self.dims[a['kind'][7:]].name}"
-                    self.add_input(a["name"], a["dims"], {tuple(k): v for k, v in a["cells"] or []}, kind)
+                    self.add_input(a["name"], a["dims"], {tuple(k): v for k, v in a["cells"] or []} if table is None else table, a["kind"], unique=False)
                 case "add_formula":
-                    kind = a["kind"] if not a["kind"].startswith("member:") else f"member:{self.dims[a['kind'][7:]].name}"
-                    self.add_formula(a["name"], a["dims"], a["formula"], kind, a["overridable"])
+                    self.add_formula(a["name"], a["dims"], a["formula"] if isinstance(a["formula"], str) else from_json(a["formula"]), a["kind"], a["overridable"])
                 case "add_property":
-                    self.add_property(a["dim"], a["prop"], a["target"], a["values"] or {})
+                    self.add_property(a["dim"], a["prop"], a["target"], a["values"] if table is None else table)
                 case what:
                     getattr(self, what)(**a)
 

@@ -28,7 +28,7 @@ def tables(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
 _models: dict[tuple, Model] = {}
 
 
-def base(spark: SparkSession, sf_dir: str, exact: bool = False) -> Model:
+def base(spark: SparkSession, sf_dir: str, exact: bool = True) -> Model:
     """A fork of the model of the given tables, which a Spark application builds once for a folder.  It holds plans, no data:
     nothing is read until a metric is, and then from the files."""
     key = (spark.sparkContext.applicationId, sf_dir, exact)
@@ -97,7 +97,6 @@ class Spec:
     sql: str
     kind: str = "number"
     decimals: int = 4
-    exact: bool = False
 
 
 PM, BM = "part, month", "brand, month"
@@ -152,8 +151,8 @@ SPECS = {
     "remove_max": Spec("Part", "Sales[REMOVE MAX: Month]", "SELECT part, round(max(v), 2) AS v FROM sales GROUP BY part", decimals=2),
     "remove_count": Spec("Part", "NationOf[REMOVE COUNT: Month]", "SELECT part, CAST(count(*) AS DOUBLE) AS v FROM nof GROUP BY part"),
     "remove_multi_dim": Spec("", "Sales[REMOVE SUM: Part, Month]", "SELECT round(fsum(l_extendedprice), 2) AS v FROM li", decimals=2),
-    "exact_sum": Spec("Month", "Sales[REMOVE SUM: Part]", "SELECT month, round(fsum(v), 2) AS v FROM sales GROUP BY month", decimals=2, exact=True),
-    "exact_avg": Spec("Flag", "SalesFlag[REMOVE AVG: Month]", "SELECT flag, round(fsum(v) / count(*), 2) AS v FROM sf GROUP BY flag", decimals=2, exact=True),
+    "exact_sum": Spec("Month", "Sales[REMOVE SUM: Part]", "SELECT month, round(fsum(v), 2) AS v FROM sales GROUP BY month", decimals=2),
+    "exact_avg": Spec("Flag", "SalesFlag[REMOVE AVG: Month]", "SELECT flag, round(fsum(v) / count(*), 2) AS v FROM sf GROUP BY flag", decimals=2),
     "by_sum_property": Spec("Brand Month", "Sales[BY SUM: Part.Brand]", "SELECT p_brand AS brand, month, round(fsum(v), 2) AS v FROM sales JOIN part ON p_partkey = part GROUP BY 1, 2", decimals=2),
     "by_count_property": Spec("PType Month", "Qty[BY COUNT: Part.Type]", "SELECT p_type AS ptype, month, CAST(count(*) AS DOUBLE) AS v FROM qty JOIN part ON p_partkey = part GROUP BY 1, 2"),
     "by_two_levels": Spec("Region", "AcctBal[BY SUM: Supplier.Nation, Nation.Region]", "SELECT n_regionkey AS region, round(fsum(s_acctbal), 2) AS v FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1", decimals=2),
@@ -184,7 +183,7 @@ def shown(m: Model, df: DataFrame, decimals: int | None) -> DataFrame:
 def _spec(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         s = SPECS[name]
-        m = base(spark, sf_dir, s.exact)
+        m = base(spark, sf_dir)
         m.add_formula("Result", s.dims.split(), s.formula, s.kind)
         return shown(m, m.cube("Result"), s.decimals)
 
@@ -238,17 +237,46 @@ def write_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(m, m.cube("Budget"), 4)
 
 
-def incremental_equals_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells that differ between a model whose kept results were updated after an edit and one that is evaluated from scratch: none."""
+def _edited(spark: SparkSession, sf_dir: str) -> Model:
+    m, bm = base(spark, sf_dir), ["Brand", "Month"]
+    m.add_input("Plan", bm, m.cube("BA"), unique=False)
+    m.add_formula("Half", bm, "Plan * 0.5")
+    m.add_formula("Total", ["Month"], "Plan[REMOVE SUM: Brand]")
+    m.add_formula("Late", bm, "Half[SELECT: Month - 12]")
+    m.add_formula("ToDate", bm, "PREVIOUS(Month) + Half")
+    m.recalc()
+    m.write_many("Plan", m.cube("BA").where("Month in (3, 40)").withColumn("v", F.when(F.col("Month") == 3, F.col("v") * 10)))
+    return m
+
+
+def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept results of four formulas after an edit of two months: only the regions that it reaches are evaluated again."""
+    m = _edited(spark, sf_dir)
+    m.recalc()
+    parts = [shown(m, m.cube(name), 4).withColumn("metric", F.lit(name)) for name in ("Half", "Total", "Late", "ToDate")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out.select("metric", "brand", "month", "v")
+
+
+def exact_cancel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums in which large terms cancel: 1e17 + quantity - 1e17 is the quantity only if the sum is exact."""
     m = base(spark, sf_dir)
-    m.add_input("Plan", ["Flag", "Month"], m.cube("SalesFlag"), unique=False)
-    m.add_formula("Total", ["Month"], "Plan[REMOVE SUM: Flag]")
-    m.add_formula("Year", ["Month"], "PREVIOUS(Month) + Total")
-    other = m.fork()
-    m.keep("Year")
-    m.set_cell("Plan", 5.0, Flag="R", Month=CALENDAR[3])
-    other.set_cell("Plan", 5.0, Flag="R", Month=CALENDAR[3])
-    return shown(m, m.diff("Year", other), 2)
+    one = lambda k, v: m.cube("Qty").select("Part", "Month", F.lit(k).alias("Flag"), v.alias("v"))
+    m.add_input("Terms", ["Part", "Month", "Flag"], one(0, F.lit(1e17)).union(one(1, F.col("v"))).union(one(2, F.lit(-1e17))), unique=False)
+    m.add_formula("Rest", ["Part", "Month"], "Terms[REMOVE SUM: Flag]")
+    return shown(m, m.cube("Rest"), None)
+
+
+def scan_through_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recursion through an aggregation: a seventh of the quarter's total before, for all flags, and the quarter's own."""
+    m = base(spark, sf_dir)
+    m.add_dimension("Quarter", [f"q{k}" for k in range(6)], ordered=True)
+    quarters = m.cube("SalesFlag").where("Month < 18").select("Flag", F.floor(F.col("Month") / 3).cast("int").alias("Quarter"), "v").groupBy("Flag", "Quarter").agg(F.max("v").alias("v"))
+    m.add_input("Peak", ["Flag", "Quarter"], quarters, unique=False)
+    m.add_formula("Result", ["Flag", "Quarter"], "PREVIOUS(Quarter)[REMOVE SUM: Flag][EXPAND: Flag] / 7 + Peak")
+    return shown(m, m.cube("Result"), 4)
 
 
 def _sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -296,7 +324,7 @@ def fpa_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _spec(name) for name in SPECS} | {
     "scan_mutual": scan_mutual, "coalesce_override": coalesce_override, "override_downstream": override_downstream, "spread_proportional": _spread("proportional"), "spread_even": _spread("even"), "write_bulk": write_bulk,
-    "incremental_equals_full": incremental_equals_full, "sql_group_order_limit": _sql("SELECT Month, SUM(SalesFlag) AS s, AVG(SalesFlag) AS a FROM model WHERE Flag IN ('A', 'R') GROUP BY Month ORDER BY s DESC, Month LIMIT 20"),
+    "incremental": incremental, "exact_cancel": exact_cancel, "scan_through_sum": scan_through_sum, "sql_group_order_limit": _sql("SELECT Month, SUM(SalesFlag) AS s, AVG(SalesFlag) AS a FROM model WHERE Flag IN ('A', 'R') GROUP BY Month ORDER BY s DESC, Month LIMIT 20"),
     "sql_outer_join_aggs": _sql("SELECT Month, SUM(SalesFlag) AS s, MAX(BA) AS b, COUNT(QtyA) AS n FROM model GROUP BY Month"), "sql_no_group": _sql("SELECT SUM(SalesFlag) AS s, COUNT(BA) AS n, MIN(AcctBal) AS least FROM model"),
     "rows_page": rows_page, "topk": _sql("SELECT Part, SUM(Sales) AS s FROM model GROUP BY Part ORDER BY 2 DESC LIMIT 100"), "semi_range": semi_range, "pivot_query": pivot_query, "fpa_plan": fpa_plan,
 }
@@ -310,7 +338,12 @@ ORACLES: dict[str, str] = {name: s.sql if s.sql.startswith("WITH") else PRELUDE
     "spread_proportional": PRELUDE + f"SELECT flag, month, round(CASE WHEN {_year} THEN 1000 * v / (SELECT fsum(v) FROM sf WHERE {_year}) ELSE v END, 4) AS v FROM sf",
     "spread_even": PRELUDE + f"SELECT flag, month, round(CASE WHEN {_year} THEN 1000.0 / (SELECT count(*) FROM sf WHERE {_year}) ELSE v END, 4) AS v FROM sf",
     "write_bulk": PRELUDE + "SELECT brand, month, round(CASE WHEN month < 6 THEN v * 2 ELSE v END, 4) AS v FROM ba WHERE month < 6 OR month >= 12",
-    "incremental_equals_full": "SELECT CAST(0 AS BIGINT) AS month, CAST(0 AS DOUBLE) AS old, CAST(0 AS DOUBLE) AS new WHERE false",
+    "incremental": PRELUDE + """, plan AS (SELECT brand, month, CASE WHEN month = 3 THEN v * 10 ELSE v END AS v FROM ba WHERE month <> 40), rows_ AS (SELECT DISTINCT brand FROM plan)
+SELECT 'Half' AS metric, brand, month, round(v * 0.5, 4) AS v FROM plan UNION ALL SELECT 'Total', NULL, month, round(fsum(v), 4) FROM plan GROUP BY month UNION ALL SELECT 'Late', brand, month + 12, round(v * 0.5, 4) FROM plan WHERE month + 12 < """ + str(MONTHS) + """
+UNION ALL SELECT 'ToDate', brand, month, round(s, 4) FROM (SELECT brand, month, sum(v * 0.5) OVER (PARTITION BY brand ORDER BY month) AS s FROM rows_ CROSS JOIN months LEFT JOIN plan USING (brand, month)) WHERE s IS NOT NULL""",
+    "exact_cancel": PRELUDE + "SELECT part, month, v FROM qty",
+    "scan_through_sum": PRELUDE.replace("WITH li", "WITH RECURSIVE li", 1) + """, peak AS (SELECT flag, month // 3 AS quarter, max(v) AS v FROM sf WHERE month < 18 GROUP BY 1, 2), f AS (SELECT unnest([0, 1, 2]) AS flag), r(flag, quarter, v) AS (SELECT f.flag, 0, peak.v FROM f LEFT JOIN peak ON peak.flag = f.flag AND quarter = 0
+UNION ALL SELECT f.flag, t.q, CASE WHEN t.s IS NULL THEN peak.v ELSE t.s / 7 + coalesce(peak.v, 0) END FROM (SELECT quarter + 1 AS q, sum(v) AS s FROM r WHERE quarter < 5 GROUP BY quarter) t CROSS JOIN f LEFT JOIN peak ON peak.flag = f.flag AND peak.quarter = t.q) SELECT flag, quarter, round(v, 4) AS v FROM r WHERE v IS NOT NULL""",
     "sql_group_order_limit": PRELUDE + f"SELECT {_name} AS month, round(s, 3) AS s, round(a, 3) AS a FROM (SELECT month, fsum(v) AS s, fsum(v) / count(*) AS a FROM sf WHERE flag IN (0, 2) GROUP BY month ORDER BY s DESC, month LIMIT 20)",
     "sql_outer_join_aggs": PRELUDE + f"SELECT {_name} AS month, round(s, 3) AS s, round(b, 3) AS b, coalesce(n, 0.0) AS n FROM (SELECT month, fsum(v) AS s FROM sf GROUP BY month) FULL JOIN (SELECT month, max(v) AS b FROM ba GROUP BY month) USING (month) FULL JOIN (SELECT month, CAST(count(*) AS DOUBLE) AS n FROM qa GROUP BY month) USING (month)",
     "sql_no_group": PRELUDE + "SELECT (SELECT round(fsum(v), 3) FROM sf) AS s, (SELECT CAST(count(*) AS DOUBLE) FROM ba) AS n, (SELECT round(min(s_acctbal), 3) FROM supplier) AS least",

@@ -6,7 +6,10 @@ Paths go through Spark, so they may be in any store that Spark opens.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterable, Mapping
+from contextlib import contextmanager
+from datetime import UTC, datetime
 from typing import Any
 
 import pyarrow as pa
@@ -109,34 +112,88 @@ RECORD = "version long, at timestamp, user string, reason string, client_op_id s
 
 
 class ChangeLog:
-    """An append-only folder of JSON records, one for each committed transaction."""
+    """An append-only folder of JSON records, one for each committed transaction.
+
+    Tables that a record holds (of dimensions, properties, inputs, large writes) are Parquet folders in `_data`, whole models
+    in `_snapshots`; both belong to the log, so a replay needs nothing else.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._group: list[tuple] | None = None
 
     def append(self, version: int, ops: list[Mapping[str, Any]], user: str | None = None, reason: str | None = None, client_op_id: str | None = None) -> None:
-        row = self.spark.createDataFrame([(version, user, reason, client_op_id, json.dumps(ops))], "version long, user string, reason string, client_op_id string, ops string")
-        row.select("version", F.current_timestamp().alias("at"), "user", "reason", "client_op_id", "ops").coalesce(1).write.mode("append").json(self.path)
+        row = (version, datetime.now(UTC), user, reason, client_op_id, json.dumps([{k: self._stored(v) for k, v in op.items()} for op in ops]))
+        if self._group is not None:
+            self._group.append(row)
+        else:
+            self._write([row])
+
+    def _stored(self, value: Any) -> Any:
+        if not isinstance(value, DataFrame):
+            return value
+        path = f"{self.path}/_data/{uuid.uuid4().hex}"
+        value.write.option("compression", "zstd").parquet(path)
+        return {"parquet": path}
+
+    def _write(self, rows: list[tuple]) -> None:
+        self.spark.createDataFrame(rows, RECORD).coalesce(1).write.mode("append").json(self.path)
+
+    @contextmanager
+    def grouped(self):
+        """Records of the transactions inside are written together at the end, as far as they were committed."""
+        self._group = []
+        try:
+            yield self
+        finally:
+            rows, self._group = self._group, None
+            if rows:
+                self._write(rows)
 
     def records(self) -> DataFrame:
         return self.spark.read.schema(RECORD).json(self.path)
 
     def replay(self, model: Model, upto: int | None = None) -> Model:
-        """Applies the records after the model's version, in order."""
+        """Applies the records after the model's version, in order, up to the first that is missing."""
         todo = self.records().where(F.col("version") > model.version)
         if upto is not None:
             todo = todo.where(F.col("version") <= upto)
         for r in todo.orderBy("version").toLocalIterator():
+            if r["version"] > model.version + 1:
+                break
             follow(model, r["version"], r["ops"], r["client_op_id"])
         return model
 
-    def history(self, metric: str, key: Iterable[str]) -> DataFrame:
-        """Who wrote a cell, when, and what: version, at, user, old, new."""
-        from pyspark.sql import Window
-
-        op = F.explode(F.from_json("ops", "array<struct<op:string,name:string,key:array<string>,value:string>>"))
-        rows = self.records().select("version", "at", "user", op.alias("o")).where((F.col("o.op") == "set_cell") & (F.col("o.name") == metric) & (F.col("o.key") == F.array(*map(F.lit, key))))
-        return rows.select("version", "at", "user", F.lag("o.value").over(Window.partitionBy(F.lit(0)).orderBy("version")).alias("old"), F.col("o.value").alias("new"))
+    def snapshot(self, model: Model) -> None:
+        """The whole model as of its version, from which restore() goes on."""
+        save(model, f"{self.path}/_snapshots/{model.version:012d}")
+
+    def restore(self, start: Model | None = None, upto: int | None = None) -> Model:
+        """The model of a version (the last): its latest snapshot before, or start, and the records since."""
+        top = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_snapshots")
+        fs = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = sorted(int(x.getPath().getName()) for x in fs.listStatus(top)) if fs.exists(top) else []
+        found = [v for v in found if upto is None or v <= upto]
+        model = load(self.spark, f"{self.path}/_snapshots/{found[-1]:012d}") if found else (start or Model(self.spark)).fork()
+        return self.replay(model, upto)
+
+    def history(self, metric: str, key: Iterable[str], model: Model | None = None) -> DataFrame:
+        """Who changed a cell, when, and how: version, at, user, old, new (as text).  With a model also large writes and
+        spreads, whose tables hold keys; each such record is one more small read."""
+        key = list(key)
+        op = F.explode(F.from_json("ops", "array<struct<op:string,name:string,key:array<string>,value:string,old:string,table:struct<parquet:string>>>"))
+        rows = self.records().select("version", "at", "user", op.alias("o")).where(F.col("o.name") == metric)
+        out = rows.where((F.col("o.op") == "set_cell") & (F.col("o.key") == F.array(*map(F.lit, key)))).select("version", "at", "user", F.col("o.old").alias("old"), F.col("o.value").alias("new"))
+        if model is None:
+            return out
+        m = model._target(metric)
+        here = dict(zip((model.dims[u].name for u in m.dims), model._keys(m.dims, tuple(key)), strict=True))
+        for r in rows.where(F.col("o.op").isin("write_table", "spread")).select("version", "at", "user", "o.table.parquet").collect():
+            cells = self.spark.read.parquet(r["parquet"])
+            for d, k in here.items():
+                cells = cells.where(F.col(f"`{d}`") == k)
+            out = out.union(cells.select(F.lit(r["version"]).cast("long"), F.lit(r["at"]), F.lit(r["user"]), F.col("_old").cast("string"), F.col("v").cast("string")))
+        return out
 
 
 def follow(model: Model, version: int, ops: str, client_op_id: str | None = None) -> None:

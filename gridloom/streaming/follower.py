@@ -6,26 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.model import Model
-from ..sources.store import RECORD, ChangeLog, follow
+from ..sources.store import RECORD, ChangeLog
 
 
 class Follower:
-    """Reads the log's folder as a stream; each micro-batch is applied in the order of versions.
+    """Reads the log's folder as a stream; a micro-batch tells that there is something new.
 
-    A record is applied once, also when a batch runs again after a failure: versions that the model has are skipped.
-    A gap (a record that arrives before its predecessor) waits for the next batch.
+    Records are applied in the order of versions from the log itself, each once, also when a batch runs again after a failure:
+    versions that the model has are skipped.  After a gap (a record that arrives before its predecessor) records wait in the
+    log, not here, so a restarted follower loses none.
     """
 
     def __init__(self, model: Model, log: ChangeLog):
         self.model, self.log = model.fork(), log
-        self.waiting: dict[int, tuple[str, str | None]] = {}
 
     def apply(self, batch: DataFrame, _: int) -> None:
-        for r in batch.select("version", "ops", "client_op_id").orderBy("version").toLocalIterator():
-            self.waiting[r["version"]] = (r["ops"], r["client_op_id"])
-        while (nxt := self.model.version + 1) in self.waiting:
-            follow(self.model, nxt, *self.waiting.pop(nxt))
-        self.waiting = {v: x for v, x in self.waiting.items() if v > self.model.version}
+        if batch.where(f"version > {self.model.version}").isEmpty():
+            return
+        self.log.replay(self.model)
 
     def start(self, checkpoint: str, once: bool = False) -> StreamingQuery:
         stream = self.log.spark.readStream.schema(RECORD).json(self.log.path)
