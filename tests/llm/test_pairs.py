@@ -194,7 +194,29 @@ def test_vectors(spark):
     assert found.total() == len(rows)
 
 
-def test_decode_finds_the_largest_sums():
+def test_decode_finds_all_sums_over_the_bound():
     tables = np.random.default_rng(1).standard_normal((3, 6))
     sums = {a * 36 + b * 6 + c: tables[0, a] + tables[1, b] + tables[2, c] for a in range(6) for b in range(6) for c in range(6)}
-    assert caps.decode(tables, 15) == sorted(sums, key=lambda k: -sums[k])[:15]
+    order = sorted(sums, key=lambda k: -sums[k])
+    for bound in (2.0, 0.5, -9.0):
+        assert caps.decode(tables, bound, 0) == [k for k in order if sums[k] >= bound]
+    assert caps.decode(tables, 99.0, 15) == order[:15]
+
+
+@pytest.mark.parametrize("dim", [2, 8, 16, 24, 64, 200])
+def test_recall_of_caps(dim):
+    """Of random pairs at exactly the cosine, the share that have a filter in common."""
+    r = np.random.default_rng(dim)
+    x = r.standard_normal((300, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = r.standard_normal((300, dim))
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = 0.98 * x + np.sqrt(1 - 0.98**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    found = np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(caps.filters(x), caps.filters(y), strict=True)])
+    assert found >= (1 if dim < caps.SHORT else 0.95)
+
+
+def test_vectors_empty(spark):
+    schema = "vec_id long, embedding array<float>, label int, component_id int"
+    assert caps.near(spark.createDataFrame([], schema)).count() == 0
+    assert [tuple(r) for r in caps.near(spark.createDataFrame([(1, None, 1, 5), (2, [1.0], None, 5)], schema)).orderBy("vec_id").collect()] == [(1, 0, 1, True), (2, 0, 2, True)]
