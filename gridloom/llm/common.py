@@ -7,10 +7,12 @@ memory of a worker doesn't depend on the size of an Arrow batch.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +68,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@lru_cache(1)
+def _libc():
+    try:
+        lib = ctypes.CDLL(None)
+        return lib if hasattr(lib, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: a worker lives through many tasks and stages, and would hold the most that any needed."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
 # ---------------------------------------------------------------- hashing
 
 
@@ -178,6 +196,8 @@ def text_chunks(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[int
     data, offs = texts_of(batch.column(text))
     for i, j in chunks(offs):
         yield i, j, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+    del data, offs
+    trim()
 
 
 def blob(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blob, bytes_hash, cut, mix, partitions, reps, text_chunks, windows_hash, words
+from .common import blob, bytes_hash, cut, mix, partitions, reps, text_chunks, trim, windows_hash, words
 
 # Words of a window, naming rounds.
 WINDOW, ROUNDS = 35, 2
@@ -145,6 +145,7 @@ def _meet(targets: int, as_hash: bool):
     """Of a bucket: the entries whose hash more than one chunk sent, as bundles of hashes or places; settled bundles pass."""
 
     def run(t: pa.Table) -> pa.Table:
+        trim()
         bucket = t.column("bucket")[0].as_py()
         if bucket < 0:
             return pa.table([pa.array(np.full(len(t), -1 - bucket, np.int32)), *(t.column(c) for c in ("hashes", "ids", "keys", "rows"))], ["target", "found", "ids", "keys", "counts"])
@@ -168,6 +169,7 @@ def _gathered(back: DataFrame, kind: type) -> DataFrame:
     """One row for each document that got something back."""
 
     def run(t: pa.Table) -> pa.Table:
+        trim()
         got = {c: np.concatenate([np.frombuffer(x, k) for x in t.column(c).to_pylist()]) for c, k in (("found", kind), ("ids", np.int64), ("keys", np.int64), ("counts", np.uint32))}
         order = np.lexsort((got["keys"], got["ids"]))
         ids, keys, counts = got["ids"][order], got["keys"][order], got["counts"].astype(np.int64)
