@@ -120,7 +120,7 @@ def test_cosine_hash(high):
     edge = lambda n, k: k * n // 32
     grid = [[image[edge(high, y) : edge(high, y + 1), edge(media.UNIT, x) : edge(media.UNIT, x + 1)].mean() for x in range(32)] for y in range(32)]
     low = [sum(grid[y][x] * cos(pi / 32 * (y + 0.5) * v) * cos(pi / 32 * (x + 0.5) * u) for y in range(32) for x in range(32)) for v in range(8) for u in range(1, 9)]
-    bits = "".join("01"[x > median(low)] for x in low)
+    bits = "".join("01"[int(x > median(low))] for x in low)
     assert media.cosine_hash(image) == f"{int(bits, 2):016x}"
 
 
