@@ -25,16 +25,23 @@ def tables(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
     return lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_models: dict[tuple, Model] = {}
+_models: dict[tuple, tuple[tuple, Model]] = {}
 
 
 def base(spark: SparkSession, sf_dir: str, exact: bool = True) -> Model:
-    """A fork of the model of the given tables, which a Spark application builds once for a folder.  It holds plans, no data:
+    """A fork of the model of the given tables, which a Spark application builds once for a folder, and again if its tables are rewritten.  It holds plans, no data:
     nothing is read until a metric is, and then from the files."""
-    key = (spark.sparkContext.applicationId, sf_dir, exact)
-    if key not in _models:
-        _models[key] = _base(spark, sf_dir, exact)
-    return _models[key].fork()
+    key, now = (sf_dir, exact), _written(spark, sf_dir)
+    if key not in _models or _models[key][0] != now:
+        _models[key] = (now, _base(spark, sf_dir, exact))
+    return _models[key][1].fork()
+
+
+def _written(spark: SparkSession, sf_dir: str) -> tuple:
+    """What tells that a model's plans still hold: the application, and the names and times of the folder's tables."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return (spark.sparkContext.applicationId, *sorted((f.getPath().getName(), f.getModificationTime()) for f in files))
 
 
 def _base(spark: SparkSession, sf_dir: str, exact: bool) -> Model:
