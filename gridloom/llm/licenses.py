@@ -71,7 +71,7 @@ FAMILIES = (
     ("eupl", "eupl|european union", r"(?:eupl|european union public)"),
     ("ofl-1.1", "ofl|open font|sil open", r"(?:ofl|sil open font license|open font license)(?: version| v)?(?: 1 1)?"),
     ("psf-2", "psf|python", r"(?:psf|python software foundation|python)"),
-    ("php-3", "php", r"php(?: license)? 3(?: 01?)?"),
+    ("php-3", "php license", r"php license(?: version| v)? ?3(?: 01?)?"),
     ("ruby", "ruby", r"ruby"),
     ("postgresql", "postgresql", r"postgresql"),
     ("ms-pl", "ms pl|microsoft public", r"(?:ms pl|microsoft public)"),
@@ -97,6 +97,8 @@ FORMS = (
     (70, r"{} licen[sc]e(?: version)?(?: v?\d+(?: \d+)?)?"),
     (60, r"licen[sc]e (?:is |type )?{}"),
 )
+#: Families whose name without a version means other things too: a bare name is no detection.
+AMBIGUOUS = ("bsl-1", "cpl-1", "ipl-1", "psf-2", "x11")
 #: Families whose bare name is a detection (lowest priority); names with a version are too.
 BARE = ("cc0", "cc-by", "cc-by-nc", "cc-by-sa", "cc-by-nd", "cc-by-nc-sa", "cc-by-nc-nd", "unlicense", "wtfpl")
 #: One of these, at a word's start, stands in every normalised text that any rule or base phrase matches.
@@ -111,7 +113,7 @@ def rules() -> list[dict]:
     out = []
     for label, kw, name in FAMILIES:
         own = [(prio, form.format(f"(?:{name})")) for prio, form in FORMS]
-        if label in BARE or label[-1].isdigit():
+        if label in BARE or label[-1].isdigit() and label not in AMBIGUOUS:
             own.append((50 if label in BARE else 75, f"(?:{name})"))
         out.append({"label": label, "kws": [f" {k}" for k in kw.split("|")], "rules": [{"prio": prio, "re": f"(?<= ){form}(?= )"} for prio, form in own]})
     return out

@@ -222,6 +222,13 @@ def test_licenses(spark):
     assert [got[n + k].labels for k in (0, 2, 3, 4, 5, 7, 8)] == ["mit", "gpl-3", "lgpl-3", "bsd-3-clause", "", "cc-by-sa", "isc"]
 
 
+def test_ambiguous_names_alone(spark):
+    clean = ["we use python here", "boost your sales", "for the common public good", "php 3 was slow", "x11 forwarding", "IBM public records"]
+    named = ["Python Software Foundation License", "Boost Software License 1.0", "Common Public License", "PHP License, version 3.01", "licensed under the X11 license", "IBM Public License"]
+    got = {r.doc_id: r.labels for r in licenses.scan(frame(spark, clean + named)).collect()}
+    assert [got[i] for i in range(len(clean + named))] == [""] * len(clean) + ["psf-2", "bsl-1", "cpl-1", "php-3", "x11", "ipl-1"]
+
+
 def shortest(pattern):
     """The shortest matches of a pattern, one for each alternative."""
 
