@@ -310,7 +310,7 @@ def _compatible(size: np.ndarray, place: np.ndarray, percent: int, other: np.nda
 
 
 def _candidates(percent: int, short: int, wide: int, hot):
-    """Of one bucket: pairs for the first links, and the entries of all lists that matter."""
+    """Of one bucket: pairs for the first links, and the entries of all lists that matter; hot: the posted 32 bits of shingles that are dealt over buckets."""
 
     def run(t: pa.Table) -> pa.Table:
         trim()
@@ -400,6 +400,7 @@ def _searched(rows: DataFrame, tasks: int, n: int, percent: int) -> DataFrame:
             held = s + np.flatnonzero(side[s:e] > 0)
             index = Lists(tokens[np.repeat(upto[held], sizes[held]) + reps(sizes[held])], sizes[held])
             root: dict[int, int] = {}
+            many = dict(zip(*(v.tolist() for v in np.unique(comp[held], return_counts=True)), strict=True))
 
             def find(c: int) -> int:
                 while (up := root.get(c, c)) != c:
@@ -408,11 +409,14 @@ def _searched(rows: DataFrame, tasks: int, n: int, percent: int) -> DataFrame:
                 return c
 
             for q in (s + np.flatnonzero(side[s:e] != 1)).tolist():
+                if many.get(find(int(comp[q])), 0) == len(held):  # all that it could find is joined with it
+                    continue
                 found = held[index.search(tokens[upto[q] : upto[q + 1]], percent)]
                 for k in found[comp[found] != comp[q]].tolist():
                     a, b = find(int(comp[q])), find(int(comp[k]))
                     if a != b:
                         root[max(a, b)] = min(a, b)
+                        many[min(a, b)] = many.pop(a, 0) + many.pop(b, 0)
                         out.append((node[q], node[k], comp[q], comp[k]))
         cols = list(zip(*out, strict=True)) if out else [[]] * 4
         return pa.table([pa.array(c, pa.int64()) for c in cols], ["x", "y", "a", "b"])
@@ -512,7 +516,7 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str = "tex
     docs = _named(docs, text, key)
     written = cut(_sets(docs, n, partitions(spark)), "jaccard-sets")
     often = _frequent(written, LAST, FREQUENT)
-    frequent, hot = spark.sparkContext.broadcast(often), spark.sparkContext.broadcast(often[0][often[1] > SPLIT])
+    frequent, hot = spark.sparkContext.broadcast(often), spark.sparkContext.broadcast(_token32(often[0][often[1] > SPLIT]))
     sets = written.where("bucket is null").select("doc_id", "h", "n", "node")
     buckets = _tasks(spark, sets.agg(F.sum("n")).first()[0], POSTINGS)
     found = cut(_post(docs, frequent, n, percent, buckets).groupBy("bucket").applyInArrow(_candidates(percent, SHORT, WIDE, hot), FOUND), "jaccard-candidates")

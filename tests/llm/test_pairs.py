@@ -65,6 +65,16 @@ def test_jaccard(spark, monkeypatch, short, split, wide, part):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
 
 
+def test_dealt_shingles(spark, monkeypatch):
+    """Near copies whose prefixes share only shingles that are dealt over many buckets, and texts beside them that don't link."""
+    for name, value in {"SPLIT": 6, "POSTINGS": 20}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    passage = " ".join(f"w{k}" for k in range(64))
+    rows = [(k, f"{passage} own{k}") for k in range(40)] + [(40 + k, " ".join(f"x{k}y{j}" for j in range(30)) + " " + passage) for k in range(3)]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: 0 if k < 40 else k for k in range(43)}
+
+
 @pytest.mark.parametrize("heap,long", [(0, 0), (1000, 0), (0, 5), (20, 512)])
 def test_divide_skip(monkeypatch, heap, long):
     monkeypatch.setattr(jaccard, "HEAP", heap)
