@@ -226,6 +226,41 @@ def test_recall_of_caps(dim):
     assert found >= (1 if dim < caps.SHORT else 0.95)
 
 
+@pytest.mark.parametrize("dim", [16, 24, 64])
+def test_links_beyond_the_caps(spark, monkeypatch, dim):
+    """Pairs above the cosine that share no cap, beside pairs that do, chains and pairs just below: all links and only those, over many parts."""
+    monkeypatch.setattr(caps, "PART", 7)
+    monkeypatch.setattr(caps, "WHOLE_PART", 50)
+    r = np.random.default_rng(dim)
+
+    def partners(x, cosine):
+        y = r.standard_normal(x.shape)
+        y -= (x * y).sum(1, keepdims=True) * x
+        return cosine * x + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+
+    x = r.standard_normal((3000, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = partners(x, 0.98001)
+    apart = np.array([not len(np.intersect1d(a, b)) for a, b in zip(caps.filters(x), caps.filters(y), strict=True)])
+    if dim == 16:
+        assert apart.any()
+    apart[:40] = True
+    x, y = x[apart], y[apart]
+    v = np.concatenate([x, y, partners(y, 0.99), partners(x, 0.9799)])
+    v = np.concatenate([v, v[:30], 3 * v[:30]])
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.98
+    np.fill_diagonal(link, False)
+    component = np.arange(len(v))
+    while True:
+        least = np.minimum(component, np.where(link, component[None], len(v)).min(1))
+        if (least == component).all():
+            break
+        component = least
+    got = caps.near(spark.createDataFrame([(k, [float(c) for c in x], 1) for k, x in enumerate(v)], "vec_id long, embedding array<double>, label int")).collect()
+    assert {g.vec_id: (g.n_links, g.component_id, g.kept) for g in got} == {k: (int(link[k].sum()), int(component[k]), bool(component[k] == k)) for k in range(len(v))}
+
+
 def test_vectors_empty(spark):
     schema = "vec_id long, embedding array<float>, label int, component_id int"
     assert caps.near(spark.createDataFrame([], schema)).count() == 0
