@@ -1,20 +1,17 @@
 """Aggregations over cells.
 
-SUM in exact mode is correctly rounded and independent of order, and still aggregates map-side: each double is an integer times a
-power of two that is a multiple of 32, so a group's sum is a few exact integer sums (decimal, JVM side), one for each such
-power.  A group with one of them, as most are, is settled there too; only the few numbers of other groups are combined in Python.
+SUM in exact mode is correctly rounded and independent of order, and still aggregates map-side: each double is written as digits of
+26 bits, counted from the lowest place of a window of magnitudes, and a group's sum is one sum of longs for each digit.  One window
+holds the magnitudes from 2^-65 to 2^64, so nearly all groups have one; the others put theirs together.  All of it is columns of
+Spark's own, without Python.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
-from fractions import Fraction
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -26,6 +23,11 @@ class Aggregate:
 AGGREGATES = {"sum": Aggregate(True), "avg": Aggregate(True), "min": Aggregate(True), "max": Aggregate(True), "count": Aggregate(False)}
 #: Sums with a finite number of at least this size are NaN.
 HUGE = 2.0**960
+#: Bits of a digit, digits of a window, digits from one window to the next, bits so; windows on either side of that of 1; minus the power of its lowest place,
+#: two below that of its least number (which a logarithm may miss by one).  A digit's sum holds 2^34 rows and more.
+DIGIT, DIGITS, STEP, WINDOWS = 26, 7, 5, 8
+WIDTH = DIGIT * STEP
+LOWEST = WIDTH // 2 + 54
 
 
 def least(v: Column) -> Column:
@@ -42,42 +44,56 @@ def most(v: Column) -> Column:
     return F.when(F.isnan(high), high).when((high == 0) & positive, F.lit(0.0)).otherwise(high)
 
 
-@F.pandas_udf(T.DoubleType())
-def _combined(parts: pd.Series) -> pd.Series:
-    out = []
-    for p in parts:
-        if p is None:  # settled without
-            out.append(0.0)
-            continue
-        total = sum((Fraction((int(x["hi"]) << 44) + int(x["lo"])) * Fraction(2) ** int(x["b"]) for x in p), Fraction(0))
-        try:
-            out.append(float(total))
-        except OverflowError:
-            out.append(math.copysign(math.inf, total))
-    return pd.Series(out, dtype="float64")
+def _whole(parts: Column) -> Column:
+    """The correctly rounded sum of a group's windows.
+
+    A lambda over an array of one element names a value that is used again: the expression stays small wherever Catalyst copies it to, and keys stay free for filters to pass."""
+    zero, mask = F.lit(0).cast("long"), F.lit(2**DIGIT - 1).cast("long")
+    once = lambda x, f: F.aggregate(F.array(x), F.lit(0.0), lambda _, y: f(y))
+    at = lambda p, a: a - (p["w"] + WINDOWS) * STEP
+    every = F.sequence(F.lit(0), F.lit(2 * WINDOWS * STEP + DIGITS + 2))
+    # one window's digits, or those of several at their places among all; three more for carries
+    several = F.transform(every, lambda a: F.aggregate(parts, zero, lambda s, p: s + F.when(at(p, a).between(0, DIGITS - 1), F.get(p["d"], at(p, a))).otherwise(zero)))
+    digits = F.when(F.size(parts) > 1, several).otherwise(F.concat(parts[0]["d"], F.array(zero, zero, zero)))
+    low = F.when(F.size(parts) > 1, F.lit(0)).otherwise((parts[0]["w"] + WINDOWS) * STEP)
+
+    def carried(sums: Column) -> Column:
+        step = lambda s, d: F.struct(F.shiftright(d + s["c"], DIGIT).alias("c"), F.concat(s["g"], F.array((d + s["c"]).bitwiseAND(mask))).alias("g"))
+        return F.aggregate(sums, F.struct(zero.alias("c"), F.array().cast("array<bigint>").alias("g")), step)
+
+    def rounded(g: Column, low: Column) -> Column:
+        """One addition of two exact doubles, so it is rounded once; below 2^-1022 a sum of doubles is a double itself, and scaling it in two steps is exact."""
+        pair = lambda k: F.get(g, k) * F.lit(2**DIGIT).cast("long") + F.get(g, k - 1)
+        top = F.greatest(F.lit(3), F.array_max(F.transform(g, lambda d, i: F.when(d != 0, i).otherwise(F.lit(0)))))
+        more = lambda k: F.when(F.exists(F.slice(g, F.lit(1), k - 3), lambda d: d != 0), F.lit(1)).otherwise(F.lit(0)).cast("long")
+        power = lambda k: (k - 3 + low - WINDOWS * STEP) * DIGIT - LOWEST
+        scale = lambda k: F.pow(F.lit(2.0), F.shiftright(power(k), 1)), lambda k: F.pow(F.lit(2.0), power(k) - F.shiftright(power(k), 1))
+        return once(top, lambda k: (pair(k).cast("double") * 2.0 ** (2 * DIGIT) + pair(k - 2).bitwiseOR(more(k)).cast("double")) * scale[0](k) * scale[1](k))
+
+    minus = lambda sums: F.transform(sums, lambda d: -d)
+    return once(F.struct(digits.alias("d"), low.alias("low")), lambda x: once(carried(x["d"]), lambda s: F.when(s["c"] < 0, once(carried(minus(x["d"])), lambda t: -rounded(t["g"], x["low"]))).otherwise(rounded(s["g"], x["low"]))))
 
 
 def exact_sum(df: DataFrame, keys: list[str], v: str = "v") -> DataFrame:
     """keys, v (the sum) and n (rows) per group; no row without cells."""
     x = F.col(v)
-    finite = ~F.isnan(x) & (F.abs(x) != float("inf"))
-    size = F.floor(F.log2(F.abs(x)))
-    power = F.when(finite & (x != 0), (F.floor((size - 56) / 32) * 32).cast("int")).otherwise(F.lit(0))
-    df = df.withColumn("_b", power).withColumn("_x", F.when(finite & (x != 0), x * F.pow(F.lit(2.0), (-F.col("_b") / 2).cast("int")) * F.pow(F.lit(2.0), -F.col("_b") - (-F.col("_b") / 2).cast("int"))).otherwise(F.lit(0.0)))
-    hi = F.floor(F.col("_x") / float(2**44)).cast("long")
-    lo = (F.col("_x") - hi.cast("double") * float(2**44)).cast("long")
-    part = df.groupBy(*keys, "_b").agg(
-        F.sum(hi.cast("decimal(28,0)")).alias("hi"), F.sum(lo.cast("decimal(28,0)")).alias("lo"), F.count("*").alias("_n"), F.bool_or(F.isnan(x) | (finite & (F.abs(x) >= HUGE))).alias("_nan"), F.bool_or(x == float("inf")).alias("_up"), F.bool_or(x == float("-inf")).alias("_down")
-    )
-    whole = part.groupBy(*keys).agg(F.collect_list(F.struct(F.col("_b").alias("b"), F.col("hi").cast("string").alias("hi"), F.col("lo").cast("string").alias("lo"))).alias("_parts"), F.sum("_n").alias("n"), F.bool_or("_nan").alias("_nan"), F.bool_or("_up").alias("_up"), F.bool_or("_down").alias("_down"))
-    special = F.when(F.col("_nan") | (F.col("_up") & F.col("_down")), F.lit(float("nan"))).when(F.col("_up"), F.lit(float("inf"))).when(F.col("_down"), F.lit(float("-inf")))
-    odd = F.col("_nan") | F.col("_up") | F.col("_down")
-    # one power and a sum that a decimal holds: the decimal's double is correctly rounded, and a power of two scales it exactly
-    one = F.element_at("_parts", 1)
-    plain = (F.size("_parts") == 1) & (F.length(one["hi"]) <= 23) & one["b"].between(-900, 800)
-    digits = one["hi"].cast("decimal(24,0)") * F.lit(2**44).cast("decimal(14,0)") + one["lo"].cast("decimal(28,0)")
-    near = F.when(plain, digits.cast("double") * F.pow(F.lit(2.0), one["b"]))
-    return whole.where("n > 0").select(*keys, F.when(odd, special).when(plain, near).otherwise(_combined(F.when(~plain & ~odd, F.col("_parts")))).alias(v), "n")
+    size, plain = F.abs(x), ~F.isnan(x) & (F.abs(x) != float("inf")) & (x != 0)
+    window = F.when(~plain | size.between(2.0 ** (-WIDTH // 2), 2.0 ** (WIDTH // 2 - 1)), F.lit(0)).otherwise(F.floor((F.floor(F.log2(size)) + WIDTH // 2) / WIDTH).cast("int"))
+    df = df.select(*keys, x.alias("_v"), window.alias("_w"))
+    x, size = F.col("_v"), F.abs(F.col("_v"))
+    up = F.lit(LOWEST) - F.col("_w") * WIDTH
+    half = F.shiftright(up, 1)
+    scaled = F.when(F.isnan(x) | (size == float("inf")), F.lit(0.0)).when(F.col("_w") == 0, x * 2.0**LOWEST).otherwise(x * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), up - half))
+    odd = F.when(F.isnan(x) | ((size >= HUGE) & (size != float("inf"))), F.lit(1)).when(x == float("inf"), F.lit(2)).when(x == float("-inf"), F.lit(4)).otherwise(F.lit(0))
+    df = df.select(*keys, "_w", odd.alias("_odd"), scaled.alias("_y"))
+    whole = [F.rint(F.col("_y") * 2.0 ** (-DIGIT * i)) for i in range(DIGITS)]
+    digits = [(whole[i] - whole[i + 1] * float(2**DIGIT) if i + 1 < DIGITS else whole[i]).cast("long") for i in range(DIGITS)]
+    part = df.groupBy(*keys, "_w").agg(*(F.sum(d).alias(f"_d{i}") for i, d in enumerate(digits)), F.count("*").alias("_n"), F.bit_or("_odd").alias("_odd"))
+    part = part.groupBy(*keys).agg(F.collect_list(F.struct(F.col("_w").alias("w"), F.array(*(f"_d{i}" for i in range(DIGITS))).alias("d"))).alias("_parts"), F.sum("_n").alias("n"), F.bit_or("_odd").alias("_odd")).where("n > 0")
+    odd = F.col("_odd")
+    special = F.when((odd.bitwiseAND(1) != 0) | (odd.bitwiseAND(6) == 6), F.lit(float("nan"))).when(odd.bitwiseAND(2) != 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
+    # a sum is never null, which this says to Catalyst: it drops filters for that
+    return part.select(*keys, F.coalesce(F.when(odd != 0, special).otherwise(_whole(F.col("_parts"))), F.lit(0.0)).alias(v), "n")
 
 
 def aggregate_all(df: DataFrame, keys: list[str], aggs: list[str], exact: bool = False) -> DataFrame:

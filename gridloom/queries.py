@@ -270,8 +270,10 @@ def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exact_cancel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums in which large terms cancel: 1e17 + quantity - 1e17 is the quantity only if the sum is exact."""
     m = base(spark, sf_dir)
-    one = lambda k, v: m.cube("Qty").select("Part", "Month", F.lit(k).alias("Flag"), v.alias("v"))
-    m.add_input("Terms", ["Part", "Month", "Flag"], one(0, F.lit(1e17)).union(one(1, F.col("v"))).union(one(2, F.lit(-1e17))), unique=False)
+    term = lambda k, v: F.struct(F.lit(k).alias("Flag"), v.alias("v"))
+    # the three terms of a cell from one reading of it
+    terms = m.cube("Qty").select("Part", "Month", F.inline(F.array(term(0, F.lit(1e17)), term(1, F.col("v")), term(2, F.lit(-1e17)))))
+    m.add_input("Terms", ["Part", "Month", "Flag"], terms, unique=False)
     m.add_formula("Rest", ["Part", "Month"], "Terms[REMOVE SUM: Flag]")
     return shown(m, m.cube("Rest"), None)
 

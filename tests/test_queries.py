@@ -40,3 +40,22 @@ def test_entry_without_the_optional_parts(tmp_path):
     subprocess.run(["rm", "-rf", str(tmp_path / "gridloom" / "llm")], check=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'fpa_plan' in q and not any(n.startswith('op') for n in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_exact_sums_are_columns(spark):
+    """Sums over all magnitudes against fractions; neither Python nor a second reading of Qty in exact_cancel."""
+    import math
+    import random
+    from fractions import Fraction
+
+    from gridloom.functions.aggregates import exact_sum
+    from gridloom.queries import QUERIES
+
+    r = random.Random(3)
+    groups = [[r.choice((1, -1)) * math.ldexp(r.choice((r.random() + 0.5, 1.0, 1 - 2**-53)), r.randint(*span)) for _ in range(6)] for span in ((-3, 3), (-1074, -1000), (60, 70), (-68, -62), (-300, 300), (-1, 60)) for _ in range(20)]
+    groups += [g + [-v for v in g] + [5e-324, 1e-30] for g in groups] + [[1.0, 2**-53, 2**-106], [2.0**65], [-(2.0**65) + 2**12], [1e17, 30.0, -1e17], [-0.0]]
+    got = exact_sum(spark.createDataFrame([(i, v) for i, g in enumerate(groups) for v in g], "k long, v double"), ["k"])
+    assert {x.k: x.v for x in got.collect()} == {i: float(sum(map(Fraction, g))) for i, g in enumerate(groups)}
+    if os.path.isdir(DATA):
+        plan = QUERIES["exact_cancel"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+        assert "_combined" not in plan and plan.count("l_quantity#") and plan.count("Relation ") == 1
