@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,16 @@ from ..errors import FormulaError
 from .ast import Node
 
 
+def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Few rows of the driver as a relation of the plan, through Arrow: an RDD of Python objects would start a Python worker for each task that reads it."""
+    names, kinds = zip(*(c.rsplit(" ", 1) for c in schema.split(", ")), strict=True)
+    types = {"int": pa.int32(), "bigint": pa.int64(), "long": pa.int64(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
+    if not rows or any(k not in types for k in kinds):
+        return spark.createDataFrame(rows, schema)
+    table = pa.table({n: pa.array([r[i] for r in rows], types[k]) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
+    return spark.createDataFrame(table, schema)
+
+
 @dataclass
 class Prop:
     uid: str
@@ -53,7 +64,7 @@ class Dim:
             return self.table
         if self._frame is None:
             rows = [(k, n, r) for r, (k, n) in enumerate(self.members)]
-            self._frame = spark.createDataFrame(rows, "key int, name string, rank int")
+            self._frame = local(spark, rows, "key int, name string, rank int")
         return self._frame
 
     def key(self, name: Any) -> Any:

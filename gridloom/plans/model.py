@@ -27,7 +27,7 @@ from ..operators.scan import scan
 from . import analyze, regions
 from .analyze import bind, dense_nodes, edges, order, scan_dim
 from .ast import Coalesce, Member, Node, Ref, Select, from_json, to_json
-from .catalog import Dim, Metric, Prop
+from .catalog import Dim, Metric, Prop, local
 from .parser import parse
 from .typecheck import Type, infer
 
@@ -178,7 +178,7 @@ class Model:
                 raise ValueError(f"{name}: a key is repeated")
         else:
             rows = [(*self._keys(uids, k if isinstance(k, tuple) else (k,)), self._value(name, kind, v)) for k, v in (cells or {}).items()]
-            base = self.spark.createDataFrame(rows, schema)
+            base = local(self.spark, rows, schema)
         old = self.metric_ids.get(name)
         if old is None:
             self._new_name(name)

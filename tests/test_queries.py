@@ -59,3 +59,17 @@ def test_exact_sums_are_columns(spark):
     if os.path.isdir(DATA):
         plan = QUERIES["exact_cancel"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
         assert "_combined" not in plan and plan.count("l_quantity#") and plan.count("Relation ") == 1
+
+
+def test_small_tables_start_no_python(spark):
+    """Members and cells given on the driver are relations of the plan, not RDDs of Python objects."""
+    from gridloom.plans.model import Model
+
+    m = Model(spark)
+    m.add_dimension("Month", ["Jan", "Feb"], ordered=True)
+    m.add_input("Rate", ["Month"], {("Jan",): 2})
+    m.add_formula("All", ["Month"], "IFBLANK(Rate, 1)")
+    df = m.cube("All")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "ExternalRDD" not in plan
+    assert sorted(map(tuple, df.collect())) == [(0, 2.0), (1, 1.0)]
