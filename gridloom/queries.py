@@ -246,6 +246,7 @@ def write_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _edited(spark: SparkSession, sf_dir: str) -> Model:
     m, bm = base(spark, sf_dir), ["Brand", "Month"]
+    m.keep("BA")  # else each reader of Plan, and the edit, sums the items again
     m.add_input("Plan", bm, m.cube("BA"), unique=False)
     m.add_formula("Half", bm, "Plan * 0.5")
     m.add_formula("Total", ["Month"], "Plan[REMOVE SUM: Brand]")

@@ -73,3 +73,15 @@ def test_small_tables_start_no_python(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "LogicalRDD" not in plan and "ExternalRDD" not in plan
     assert sorted(map(tuple, df.collect())) == [(0, 2.0), (1, 1.0)]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no data")
+def test_incremental_reads_kept_cells(spark, monkeypatch):
+    """Plan's cells are kept ones: what reads them doesn't sum the items again."""
+    from gridloom import queries
+    from gridloom.plans.model import Model
+
+    seen, recalc = [], Model.recalc
+    monkeypatch.setattr(Model, "recalc", lambda m: (seen.append(m.metric_named("Plan").base.inputFiles()), recalc(m))[1])
+    queries._edited(spark, DATA)
+    assert seen[0] and not any("lineitem" in f for f in seen[0])
